@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import neardup, quality, toxicity
+from quillspark.llm import decontam, neardup, packing, quality, toxicity
 from quillspark.llm.work import fresh_path
 
 STAGES = [
     ("toxicity", toxicity.stage),
     ("quality classifier", quality.stage),
     ("SimHash near-dedup", neardup.stage),
+    ("benchmark decontamination", decontam.stage),
+    ("best-fit packing", packing.stage),
 ]
 
 #: SQL can express neither trained classifiers nor fingerprints; tests/llm hold the result against brute force.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import neardup, quality, toxicity
+from . import chat, decontam, neardup, packing, quality, toxicity
 
 QUERIES = {
     "op1_simhash_neardup": neardup.query,
     "op6_quality_classifier": quality.query,
+    "op7_best_fit_packing": packing.query,
     "op8_toxicity": toxicity.query,
+    "op9_decontamination": decontam.query,
+    "op10_chat_formatting": chat.query,
 }
 
 ORACLES: dict[str, str] = {}
