@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, neardup, packing, quality, toxicity
+from . import chat, decontam, lm, neardup, packing, quality, toxicity
 
 QUERIES = {
     "op1_simhash_neardup": neardup.query,
+    "op4_lm_scoring": lm.query,
     "op6_quality_classifier": quality.query,
     "op7_best_fit_packing": packing.query,
     "op8_toxicity": toxicity.query,
