@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, lm, neardup, packing, quality, toxicity
+from . import chat, decontam, lm, neardup, packing, quality, toxicity, urls, warc
 
 QUERIES = {
     "op1_simhash_neardup": neardup.query,
+    "op3_url_filter": urls.query,
     "op4_lm_scoring": lm.query,
+    "op5_warc_index": warc.query,
     "op6_quality_classifier": quality.query,
     "op7_best_fit_packing": packing.query,
     "op8_toxicity": toxicity.query,
@@ -14,4 +16,6 @@ QUERIES = {
     "op10_chat_formatting": chat.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc_index": warc.SQL,
+}
