@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, lm, neardup, packing, quality, toxicity, urls, warc
+from . import chat, decontam, lm, media, neardup, packing, quality, toxicity, urls, warc
 
 QUERIES = {
     "op1_simhash_neardup": neardup.query,
+    "op2_media_columns": media.query,
     "op3_url_filter": urls.query,
     "op4_lm_scoring": lm.query,
     "op5_warc_index": warc.query,
