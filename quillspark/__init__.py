@@ -1 +1 @@
-"""Corpus-trained autocomplete and text analytics on Spark."""
+"""Corpus-trained autocomplete as Spark plans, with operators for preparing training corpora in ``llm``."""

@@ -128,7 +128,10 @@ def read_text(spark: SparkSession, path: str) -> str:
     p, fs, jvm = _fs(spark, path)
     if not fs.exists(p):
         raise FileNotFoundError(path)
-    return spark.read.text(path, wholetext=True).first()[0]
+    try:
+        return spark.read.text(path, wholetext=True).first()[0]
+    except Exception as e:  # a checksum that doesn't match, for one
+        raise ValueError(f"{path} can't be read: {e}") from e
 
 
 def save_index(index: Index, path: str, extra: dict | None = None) -> None:
