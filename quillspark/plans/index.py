@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import BuildConfig, build_config, to_dict
 from ..functions.text import segments as cut_segments
 from ..operators import context, ngrams, phrases as mining, prefix, vocab as voc
-from ..session import written
+from ..session import spread, written
 
 FORMAT = 1
 TABLES = ("vocab", "bigrams", "phrases", "postings", "context", "support")
@@ -73,7 +73,7 @@ def compile_index(docs: DataFrame, config: BuildConfig | None = None) -> Index:
     n_docs = docs.count()
     if not n_docs:
         raise ValueError("there are no documents to build from")
-    seg = written(cut_segments(docs, cfg.normalization), "segments")
+    seg = written(cut_segments(spread(docs, "doc_ord"), cfg.normalization), "segments")
     n_seg, n_tok = voc.corpus_totals(seg)
     if not n_tok:
         raise ValueError("the documents hold no usable tokens")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import BuildConfig, NormalizationConfig, SuggestConfig
 from ..functions import text as T
 from ..operators import beam, context, fuzzy, ngrams, phrases as mining, rerank, vocab as voc
+from ..session import spread
 from ..sources.documents import from_frame
 from . import prompts as pr
 from .index import Index, compile_index
@@ -58,7 +59,7 @@ def forget() -> None:
 
 
 def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.segments(corpus(spark, sf_dir), NORMAL)
+    return T.segments(spread(corpus(spark, sf_dir), "doc_ord"), NORMAL)
 
 
 def _text(c: str):

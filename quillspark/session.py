@@ -38,6 +38,12 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """``df`` over all cores, by a hash of ``by``, where its files give fewer partitions than that (one row group can't be split)."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, by)
+
+
 def dense_ids(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with 0-based positions in the total order ``order``, without a single-partition sort.
 
