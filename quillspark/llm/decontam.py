@@ -16,8 +16,9 @@ the item's n words (case and punctuation don't count). Per document and item:
 Items travel to the workers in slices of at most ``slice_rows`` (each slice is one more pass), so the
 size of what is broadcast is bounded however large the benchmark.
 
-Defined results: null or empty texts and items match nothing, nor do items of fewer than ``least`` words;
-rows with a null doc_id are searched like any other, items with a null item_id too; equal items all
+Items of fewer than ``least`` words are searched with d = 0, as exact runs of words; one word is probed by itself.
+
+Defined results: null or empty texts and items match nothing, nor do items without words; rows with a null doc_id are searched like any other, items with a null item_id too; equal items all
 match; a tie between windows gives one row with the least distance; repeated rows give repeated
 results; whole texts are searched; empty tables give an empty result (``drop_leaks``: every row stays).
 """
@@ -41,6 +42,10 @@ def pairs(h: np.ndarray) -> np.ndarray:
     return mix(h[:-1] * _PAIR + h[1:])
 
 
+def _alone(h: np.ndarray) -> np.ndarray:
+    return mix(h ^ _PAIR)
+
+
 def _keys(text: np.ndarray, length: np.ndarray, reps: int, samples: int, at: np.ndarray) -> np.ndarray:
     """(rows, reps) LSH keys of rows of words padded to one width; ``at``: (reps, samples) sampled shares of the walk."""
     m, width = text.shape
@@ -91,16 +96,17 @@ class Items:
         for w in words(pa.array([t for _, t in rows], pa.string())):
             for d in range(w.n):
                 hs[w.lo + d] = w.hash[w.first[d] : w.first[d + 1]]
-        chosen = [k for k in range(len(rows)) if len(hs.get(k, ())) >= least]
+        chosen = [k for k in range(len(rows)) if len(hs.get(k, ()))]
         self.ids = [rows[k][0] for k in chosen]
         self.text = [hs[k] for k in chosen]
         self.n = np.array([len(t) for t in self.text], np.int64)
-        self.d = np.floor(self.n * tolerance).astype(np.int64)
+        self.d = np.where(self.n < least, 0, np.floor(self.n * tolerance)).astype(np.int64)
         self.width = int(self.n.max()) if len(self.n) else 0
         self.table = np.full((len(self.n), self.width), _PAD)
         for k, t in enumerate(self.text):
             self.table[k, : len(t)] = t
-        grams = [pairs(t) for t in self.text]
+        self.single = bool((self.n == 1).any())
+        grams = [pairs(t) if len(t) > 1 else _alone(t) for t in self.text]
         every = np.concatenate(grams or [np.zeros(0, np.uint64)])
         u, c = np.unique(every, return_counts=True)
         ph, pi, pp = [], [], []
@@ -161,15 +167,18 @@ class Items:
             z = np.zeros(0, np.int64)
             return z, z, z
         for w in words(text):
-            if len(w.hash) < 2:
+            if not len(w.hash):
                 continue
-            g = pairs(w.hash)
-            k = member(g, self.probe)
+            k = member(pairs(w.hash), self.probe)
             j = np.flatnonzero(k >= 0)
             j = j[w.doc[j] == w.doc[j + 1]]
+            k = k[j]
+            if self.single:
+                one = member(_alone(w.hash), self.probe)
+                j, k = np.concatenate([j, np.flatnonzero(one >= 0)]), np.concatenate([k, one[one >= 0]])
             if not len(j):
                 continue
-            a, b = self.at[k[j]], self.at[k[j] + 1]
+            a, b = self.at[k], self.at[k + 1]
             times = b - a
             post = np.repeat(a - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
             j = np.repeat(j, times)

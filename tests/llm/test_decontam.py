@@ -83,3 +83,12 @@ def test_odd_rows(spark):
     assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5]
     assert decontam.leaks(d.where("false"), b).count() == 0
     assert decontam.leaks(d, b.where("false")).count() == 0 and decontam.drop_leaks(d, b.where("false")).count() == 7
+
+
+def test_short_items_match_exactly(spark):
+    items = ["red fox", "one two three four five", "alpha beta gamma delta epsilon zeta eta", "quokka", "..."]
+    docs = ["a RED, fox ran", "red foxes", "zero one two three four five six", "one two three four six", "alpha beta gamma delta epsilon zeta eta", "the quokka", "quokkas", "Quokka", "red", "fox red", ""]
+    d, b = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in decontam.leaks(d, b).collect())
+    assert got == [(0, 0, 0), (2, 1, 0), (4, 2, 0), (5, 3, 0), (7, 3, 0)]
+    assert sorted(r["doc_id"] for r in decontam.drop_leaks(d, b).collect()) == [1, 3, 6, 8, 9, 10]
