@@ -10,7 +10,8 @@ the item's n words (case and punctuation don't count). Per document and item:
 2. CGK. Window and item walk their words with shared random bits (stay or go on, 3n steps), which maps
    edit distance to Hamming distance. Each of R repetitions samples K steps of the walk as a key;
    a window goes on if one key equals the item's. R comes from simulated items with d edits, so that
-   the target recall is reached.
+   the target recall is reached. Items are simulated by length and share of distinct words too; kinds that R
+   keys (``most`` at most) leave below the target skip this step.
 3. Exact verification: semi-global edit distance of the item against the window and 2d words around it.
 
 Items travel to the workers in slices of at most ``slice_rows`` (each slice is one more pass), so the
@@ -128,6 +129,7 @@ class Items:
         self.where = rng.random((most, samples))
         self.reps = self._repetitions(rng, target, most)
         self.where = self.where[: self.reps]
+        self.whole = self._short_of(rng, target)
         self.key = _keys(self.table, self.n, self.reps, samples, self.where) if len(self.n) else np.zeros((0, self.reps), np.uint64)
 
     @staticmethod
@@ -139,8 +141,24 @@ class Items:
         k = np.flatnonzero(self.d > 0)
         if not len(k):
             return 1
-        k = rng.choice(k, 400)
-        rows = np.full((len(k), self.width), _PAD)
+        found = np.logical_or.accumulate(self._same(rng, rng.choice(k, 400)), axis=1).mean(0)
+        good = np.flatnonzero(found >= target)
+        return int(good[0]) + 1 if len(good) else most
+
+    def _short_of(self, rng, target: float, draws: int = 100) -> np.ndarray:
+        """Items of the kinds (length, quarter of distinct words) of which the repetitions find less than ``target``."""
+        out = np.zeros(len(self.n), bool)
+        kinds: dict[tuple[int, int], list[int]] = {}
+        for k in np.flatnonzero(self.d > 0).tolist():
+            kinds.setdefault((int(self.n[k]), 4 * len(np.unique(self.text[k])) // int(self.n[k])), []).append(k)
+        for own in kinds.values():
+            out[own] = self._same(rng, rng.choice(own, draws)).any(1).mean() < target
+        return out
+
+    def _same(self, rng, k: np.ndarray) -> np.ndarray:
+        """(items, repetitions): whether the keys of items ``k`` and of copies with d edits agree."""
+        width = int(self.n[k].max())
+        rows = np.full((len(k), width), _PAD)
         for r, i in enumerate(k):
             t = list(self.text[i])
             for _ in range(self.d[i]):
@@ -154,11 +172,8 @@ class Items:
                     t.pop(p)
             t = t[: self.n[i]]
             rows[r, : len(t)] = t
-        mine = _keys(rows, self.n[k], most, self.samples, self.where)
-        its = _keys(self.table[k], self.n[k], most, self.samples, self.where)
-        found = np.logical_or.accumulate(mine == its, axis=1).mean(0)
-        good = np.flatnonzero(found >= target)
-        return int(good[0]) + 1 if len(good) else most
+        mine = _keys(rows, self.n[k], len(self.where), self.samples, self.where)
+        return mine == _keys(self.table[k, :width], self.n[k], len(self.where), self.samples, self.where)
 
     def search(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, distance) of every leak."""
@@ -223,7 +238,9 @@ class Items:
             span[q, : len(s)] = s
             part = s[max(off, 0) : max(off, 0) + n[q]]
             window[q, : len(part)] = part
-        near = (_keys(window, n, self.reps, self.samples, self.where) == self.key[item]).any(1)
+        near = self.whole[item].copy()
+        part = np.flatnonzero(~near)
+        near[part] = (_keys(window[part], n[part], self.reps, self.samples, self.where) == self.key[item[part]]).any(1)
         k = np.flatnonzero(near)
         dist = distances(self.table[item[k]], n[k], span[k], size[k])
         good = dist <= self.d[item[k]]

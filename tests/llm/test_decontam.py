@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from quillspark.llm import decontam
 
@@ -92,3 +93,23 @@ def test_short_items_match_exactly(spark):
     got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in decontam.leaks(d, b).collect())
     assert got == [(0, 0, 0), (2, 1, 0), (4, 2, 0), (5, 3, 0), (7, 3, 0)]
     assert sorted(r["doc_id"] for r in decontam.drop_leaks(d, b).collect()) == [1, 3, 6, 8, 9, 10]
+
+
+def test_target_is_held_where_keys_seldom_agree():
+    rng = np.random.default_rng(5)
+    say = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    easy, hard = [say(8) for _ in range(200)], [say(200) for _ in range(3)]
+    docs = []
+    for k in range(60):
+        t = list(hard[k % 3])
+        for p in sorted(rng.choice(200, 30, replace=False))[::-1]:
+            if p % 2:
+                t.pop(p)
+            else:
+                t.insert(p, "new")
+        docs.append(" ".join(say(20) + t + say(20)))
+    for rows, most in ((hard, 1), (easy + hard, 64)):
+        items = decontam.Items([(k, " ".join(t)) for k, t in enumerate(rows)], TOL, LEAST, 0.97, most=most)
+        row, item, _ = items.search(pa.array(docs))
+        want = {(k, len(rows) - 3 + k % 3) for k in range(60)}
+        assert len(want & set(zip(row.tolist(), item.tolist()))) >= 0.97 * len(want)
