@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from quillspark.llm import urls
 
@@ -49,3 +50,17 @@ def test_filter(spark):
     assert by[5]["host_words"] == ["city", "library", "org"]
     assert "".join(by[7]["host_words"]) == "x" * 3000 + "com"
     assert urls.url_filter(df.where("false")).count() == 0
+
+
+def test_seeds_are_not_the_hosts_of_the_tables():
+    hosts = {urls.re.sub(r"^[^/]*//([^/?#]*).*$", r"\1", u) for u in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["url"]).column("url").to_pylist() if u}
+    assert not [s for s, _ in urls.SEEDS for h in hosts if s.replace(" ", "-") in h or s.replace(" ", "") in h]
+
+
+def test_concatenated_names_outside_the_seeds(spark):
+    names = {"onlinepokerwin": True, "cheapviagrapharmacy": True, "fastloanscasino": True, "adultsextube": True, "citysciencenews": False, "schoolmusicarchive": False, "healthybread": False}
+    assert not {s.replace(" ", "") for s, _ in urls.SEEDS} & set(names)
+    df = spark.createDataFrame([(k, f"http://{n}.com/", "<p>the healthy bread is here</p>" * 30) for k, n in enumerate(names)], "page_id long, url string, html string")
+    out = {r["page_id"]: r for r in urls.url_filter(df).collect()}
+    assert [out[k]["blocked"] for k in range(len(names))] == list(names.values())
+    assert out[0]["host_words"] == ["online", "poker", "win", "com"]
