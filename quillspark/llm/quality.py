@@ -1,8 +1,9 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-One weight vector over hashed text features (trigrams of character shapes, words, and words that
-repeat the one before) is shared by all grades; ordered thresholds t_1 < ... < t_{K-1} cut the latent score:
-P(grade >= k) = sigmoid(s(x) - t_k). Expected grade and tail probability follow, and the tail
+One weight vector over hashed text features is shared by all grades: the shares of trigrams of character shapes and of
+words, hashed to 2**BITS slots, and marks of repetition (how varied the words and runs of three words are, how often a word repeats
+the one before it, the share of the most frequent word, and the share of lines said before), each a level in slots of its own. Ordered
+thresholds t_1 < ... < t_{K-1} cut the latent score: P(grade >= k) = sigmoid(s(x) - t_k). Expected grade and tail probability follow, and the tail
 probability at ``cut`` selects documents.
 
 Ratings: ``grade`` of the labels. The tables give a quality and a toxicity mark, which the
@@ -23,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import Words, words
+from .kernel import Words, mix, span_hash, words
 from .work import labelled
 
 BITS = 16
+MARKS, LEVELS = 5, 16
+SIZE = (1 << BITS) + MARKS * LEVELS
+#: Spread (of a share over the sample) below which a feature isn't magnified further, so that rare features can't drown the marks.
+FLOOR = 0.05
 
 # Shape of a byte: letters and digits by kind, white space by kind, every sign as itself.
 _SHAPE = np.arange(256, dtype=np.uint32)
@@ -47,7 +52,8 @@ class Ordinal:
         total = np.zeros(len(f) + 1)
         np.cumsum(self.weight[f], out=total[1:])
         n = np.diff(first)
-        return np.where(n > 0, (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1), 0.0)
+        share = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
+        return np.where(n > 0, share + self.weight[marks(w)].sum(1), 0.0)
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1.. of each row."""
@@ -74,43 +80,96 @@ def hashed(w: Words) -> tuple[np.ndarray, np.ndarray]:
         tri = tri[at]
     top = np.uint64(64 - BITS)
     word = ((w.hash ^ np.uint64(0x5BD1E995)) >> top).astype(np.int64)
-    same = np.zeros(len(w.hash), bool)
-    if len(same) > 1:
-        same[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
-    again = np.where(same, 12345, 54321)  # does this word repeat the one before, and that the one before it?
-    if len(same) > 1:
-        again[1:][same[1:] & same[:-1]] = 34251
     a = np.searchsorted(at, w.at, "left")
-    first = a + 2 * w.first
-    out = np.empty(len(tri) + 2 * len(word), np.int64)
+    first = a + w.first
+    out = np.empty(len(tri) + len(word), np.int64)
     doc = np.searchsorted(w.at, at, "right") - 1
-    out[np.arange(len(tri)) + 2 * w.first[doc]] = tri
-    k = np.arange(len(word)) * 2 + a[w.doc + 1]
-    out[k], out[k + 1] = word, again
+    out[np.arange(len(tri)) + w.first[doc]] = tri
+    out[np.arange(len(word)) + a[w.doc + 1]] = word
     return out, first
 
 
+def _variety(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each document, and how often the most frequent one occurs."""
+    order = np.lexsort((h, doc))
+    d, h = doc[order], h[order]
+    at = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
+    most = np.zeros(n, np.int64)
+    np.maximum.at(most, d[at], np.diff(np.append(at, len(h))))
+    return np.bincount(d[at], minlength=n), most
+
+
+def marks(w: Words) -> np.ndarray:
+    """(documents, MARKS) slots: the level of each mark of repetition."""
+    n = np.diff(w.first)
+    many = np.log1p(n)
+    x = np.zeros((w.n, MARKS))
+    distinct, most = _variety(w.doc, w.hash, w.n)
+    x[:, 0] = np.log1p(distinct) / np.maximum(many, 1e-9)  # logarithms: about the same for texts of any length
+    if len(w.hash) > 2:
+        run = mix(w.hash[:-2] * np.uint64(3) + mix(w.hash[1:-1] * np.uint64(5) + w.hash[2:]))
+        inside = w.doc[:-2] == w.doc[2:]
+        runs, _ = _variety(w.doc[:-2][inside], run[inside], w.n)
+        x[:, 1] = np.log1p(runs) / np.maximum(np.log1p(np.maximum(n - 2, 0)), 1e-9)
+    same = np.zeros(len(w.hash), bool)
+    same[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
+    x[:, 2] = np.sqrt(np.bincount(w.doc[same], minlength=w.n) / np.maximum(n, 1))
+    x[:, 3] = np.sqrt(most / np.maximum(n, 1))
+    begin = np.unique(np.concatenate([w.at[:-1], np.flatnonzero(w.raw == 10) + 1]))
+    begin = begin[begin < len(w.raw)]
+    end = np.append(begin[1:], len(w.raw))
+    full = end - begin > 1
+    own = np.searchsorted(w.at, begin[full], "right") - 1
+    lines = np.bincount(own, minlength=w.n)
+    seen, _ = _variety(own, span_hash(w.low, begin[full], end[full]), w.n)
+    x[:, 4] = np.sqrt((lines - seen) / np.maximum(lines, 1))
+    level = np.minimum((np.clip(x, 0, 1) * LEVELS).astype(np.int64), LEVELS - 1)
+    return (1 << BITS) + np.arange(MARKS) * LEVELS + level
+
+
 def _sparse(batches, label: str):
     """(id, grade, sorted feature numbers, shares) of each labelled document."""
     for b in batches:
         fs, vs = [], []
         for w in words(b.column("text")):
             f, first = hashed(w)
+            own = marks(w)
             for d in range(w.n):
                 u, c = np.unique(f[first[d] : first[d + 1]], return_counts=True)
-                fs.append(u.astype(np.uint16).tobytes())
-                vs.append((c / max(1, c.sum())).astype(np.float32).tobytes())
+                m = own[d] if len(u) else own[d, :0]
+                fs.append(np.concatenate([u, m]).astype("<u4").tobytes())
+                vs.append(np.concatenate([c / max(1, c.sum()), np.ones(len(m))]).astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column(label), pa.array(fs, pa.binary()), pa.array(vs, pa.binary())], names=["doc_id", label, "f", "v"])
 
 
+def gradient(w: np.ndarray, theta: np.ndarray, f: np.ndarray, v: np.ndarray, row: np.ndarray, y: np.ndarray, balance: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of grades ``y``, and its gradients by the weights and by ``theta``.
+
+    Rows are sparse: feature ``f`` has the value ``v`` in ``row``. ``theta``: first threshold, then logarithms of the gaps.
+    """
+    n, k = len(y), len(theta) + 1
+    cuts = theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:]))])
+    s = np.bincount(row, v * w[f], n)
+    p = 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -40, 40)))
+    full = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], 1)
+    r = np.arange(n)
+    mass = np.maximum(full[r, y] - full[r, y + 1], 1e-9)
+    slope = np.concatenate([np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))], 1)
+    hi, lo = slope[r, y] / mass, slope[r, y + 1] / mass  # d log-likelihood / d (s - t_y), -(s - t_{y+1})
+    gs = -(hi - lo) * balance / n
+    gcut = np.array([((hi * balance)[y == j].sum() - (lo * balance)[y == j - 1].sum()) / n for j in range(1, k)])
+    back = np.concatenate([[gcut.sum()], [gcut[j:].sum() * np.exp(theta[j]) for j in range(1, k - 1)]])
+    return float(-(balance * np.log(mass)).mean()), np.bincount(f, v * gs[row], len(w)), back
+
+
 def fit_ordinal(docs: DataFrame, labels: DataFrame, grade: Column, sample: int = 4_000, steps: int = 250, rate: float = 0.5, penalty: float = 1e-4) -> Ordinal:
     """Fits on at most ``sample`` labelled documents, gathered as sparse rows of a few kilobytes."""
     rated = labels.withColumn("_grade", grade.cast("int")).where("_grade IS NOT NULL").select("doc_id", "_grade")
     rows = labelled(docs.sparkSession, docs, rated, sample).where("text IS NOT NULL").mapInArrow(lambda it: _sparse(it, "_grade"), "doc_id long, _grade int, f binary, v binary").toPandas().sort_values("doc_id", kind="stable")
     grades, y = np.unique(rows["_grade"].to_numpy(), return_inverse=True)
-    fs = [np.frombuffer(b, np.uint16) for b in rows["f"]]
+    fs = [np.frombuffer(b, "<u4") for b in rows["f"]]
     vs = [np.frombuffer(b, np.float32) for b in rows["v"]]
-    size = 1 << BITS
+    size = SIZE
     k = len(grades)
     if k < 2:
         return Ordinal(np.zeros(size), np.zeros(0), grades)
@@ -119,7 +178,7 @@ def fit_ordinal(docs: DataFrame, labels: DataFrame, grade: Column, sample: int =
     row = np.repeat(np.arange(n), [len(a) for a in fs])
     # Each feature in units of its spread, so that rare and frequent ones learn alike.
     v = np.concatenate(vs).astype(np.float64)
-    spread = np.sqrt(np.bincount(f, v * v, size) / n) + 2e-3
+    spread = np.sqrt(np.bincount(f, v * v, size) / n) + FLOOR
     v /= spread[f]
     share = np.bincount(y, minlength=k) / n
     tail = np.clip(1 - np.cumsum(share)[:-1], 1e-3, 1 - 1e-3)
@@ -130,22 +189,9 @@ def fit_ordinal(docs: DataFrame, labels: DataFrame, grade: Column, sample: int =
     gw, gt = np.full(size, 1e-8), np.full(len(theta), 1e-8)
     balance = (1 / np.maximum(share * k, 0.05))[y]
     balance /= balance.mean()
-    above = (y[:, None] >= np.arange(1, k)[None, :]).astype(float)
     for _ in range(steps):
-        cuts = theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:]))])
-        s = np.bincount(row, v * w[f], n)
-        p = 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -40, 40)))
-        full = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], 1)
-        r = np.arange(n)
-        mass = np.maximum(full[r, y] - full[r, y + 1], 1e-9)
-        slope = np.concatenate([np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))], 1)
-        hi, lo = slope[r, y] / mass, slope[r, y + 1] / mass  # d log-likelihood / d (s - t_y), -(s - t_{y+1})
-        gs = -(hi - lo) * balance / n
-        gcut = np.zeros(k - 1)
-        for j in range(1, k):
-            gcut[j - 1] = ((hi * balance)[y == j].sum() - (lo * balance)[y == j - 1].sum()) / n
-        back = np.concatenate([[gcut.sum()], [gcut[j:].sum() * np.exp(theta[j]) for j in range(1, k - 1)]])
-        g = np.bincount(f, v * gs[row], size) + penalty * w
+        _, g, back = gradient(w, theta, f, v, row, y, balance)
+        g += penalty * w
         gw += g * g
         gt += back * back
         w -= rate * 0.1 * g / np.sqrt(gw)

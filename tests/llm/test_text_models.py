@@ -86,3 +86,75 @@ def test_odd_rows(spark, odd):
     assert quality.keep_good(odd, one).count() == 7 and quality.quality(odd, one).where("keep").count() == 7
     unlabelled = quality.fit_ordinal(docs, labels.where("false"), F.expr(quality.GRADE))
     assert quality.keep_good(odd, unlabelled).count() == 7 and quality.quality(odd, unlabelled).count() == 7
+
+
+def test_ordinal_likelihood_by_hand():
+    """The likelihood as written down, and its gradients by finite differences."""
+    import math
+
+    rng = np.random.default_rng(4)
+    n, size, k = 30, 12, 4
+    x = rng.random((n, size)) * (rng.random((n, size)) < 0.4)
+    y, w, theta, balance = rng.integers(0, k, n), rng.normal(size=size), rng.normal(size=k - 1), rng.random(n) + 0.5
+    row, f = np.nonzero(x)
+
+    def plain(w, theta):
+        cuts = [theta[0]]
+        for gap in theta[1:]:
+            cuts.append(cuts[-1] + math.exp(gap))
+        tail = lambda s, j: 1.0 if j == 0 else 0.0 if j == k else 1 / (1 + math.exp(cuts[j - 1] - s))
+        return -sum(b * math.log(tail(float(r @ w), g) - tail(float(r @ w), g + 1)) for r, g, b in zip(x, y, balance)) / n
+
+    loss, gw, gt = quality.gradient(w, theta, f, x[row, f], row, y, balance)
+    assert abs(loss - plain(w, theta)) < 1e-9
+    step = 1e-6
+    for g, at in ((gw, w), (gt, theta)):
+        for j in range(len(at)):
+            up, down = at.copy(), at.copy()
+            up[j], down[j] = up[j] + step, down[j] - step
+            a, b = ((u, theta) if at is w else (w, u) for u in (up, down))
+            assert abs(g[j] - (plain(*a) - plain(*b)) / (2 * step)) < 1e-5
+
+
+def test_marks_of_repetition():
+    texts = ["word " * 40, " ".join(f"w{k}" for k in range(40)), "a b c\n" * 10, "", "one"]
+    got = np.concatenate([quality.marks(w) for w in words(pa.array(texts))]) - (1 << quality.BITS) - np.arange(quality.MARKS) * quality.LEVELS
+    top = quality.LEVELS - 1
+    assert got[1, 0] == got[1, 1] == top and got[1, 2] == got[1, 4] == 0
+    assert got[0, 0] < 4 and got[0, 1] < 4 and got[0, 2] == top and got[0, 3] == top
+    assert got[2, 4] == top and got[2, 2] == 0
+    assert (got[3] == 0).all() and got[4, 0] == top
+
+
+def test_isotonic_against_brute_force():
+    """Pool-adjacent-violators against the minimax formula of isotonic regression."""
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        raw = rng.integers(0, 9, 14).astype(float)
+        y = rng.integers(0, 2, 14).astype(float)
+        u = np.unique(raw)
+        weight, mean = np.array([(raw == v).sum() for v in u]), np.array([y[raw == v].mean() for v in u])
+        average = lambda i, j: (weight[i : j + 1] @ mean[i : j + 1]) / weight[i : j + 1].sum()
+        want = [max(min(average(i, j) for j in range(k, len(u))) for i in range(k + 1)) for k in range(len(u))]
+        assert np.allclose(fit_isotonic(raw, y)(u), want)
+
+
+def test_first_split_against_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(10):
+        x, y = rng.integers(0, 6, (60, 3)).astype(float), rng.integers(0, 2, 60).astype(float)
+        p = y.mean()
+        g, h = y - p, np.full(60, p * (1 - p))
+        gain = lambda left: sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1)
+        best = max(gain(x[:, j] <= c) for j in range(3) for c in np.unique(x[:, j])[:-1] if min(h[x[:, j] <= c].sum(), h[x[:, j] > c].sum()) >= 1)
+        m = fit_boosted(x, y, trees=1, depth=1)
+        assert abs(gain(x[:, m.feature[0][0]] <= m.cut[0][0]) - best) < 1e-9
+
+
+def test_toxicity_without_seed_words(spark, monkeypatch):
+    """The lexicon is learned: the words written by hand may be none."""
+    monkeypatch.setattr(toxicity, "SEEDS", [])
+    docs, train, test = held_out(spark)
+    got = toxicity.toxicity(docs, toxicity.fit_toxicity(spark, docs, train)).join(test.select("doc_id", test.toxic.alias("label")), "doc_id").toPandas()
+    bad = got.label == 1
+    assert got.toxic[bad].mean() >= 0.85 and got.toxic[~bad].mean() <= 0.02
