@@ -3,13 +3,14 @@
 Word counts come from the visible text of all pages. For every distinct host, the substrings of its labels are
 joined to the counts (by hash, one shuffle; nothing of the corpus is broadcast), and a Viterbi search splits each label into
 the most probable words; an unknown piece of length k has the probability 10 / (N * 10**k). The classifier is
-multinomial naive Bayes with add-one smoothing, trained on a seed list of labelled names (a parameter), and scores the
+multinomial naive Bayes with add-one smoothing, trained on a seed list of labelled names (a parameter) and, where given, on a table of labelled
+URLs whose hosts are segmented like all others (``labelled``: url, unwanted; ``sample`` rows of it at most, the first by a hash). It scores the
 words of the host and the tokens of the path: log-odds of unwanted against wanted.
 
 Defined results: a null url has null host and score and is not blocked; a url without a scheme has no host and
 is scored by its path; equal hosts are split once; of splits with equal probability the one with the
-longer last word wins; labels of any length are split, words longer than
-``MAX_WORD`` letters aren't in the vocabulary; an empty table gives an empty result; extra columns are ignored.
+longer last word wins; labels and words may have any length (only substrings as long as some word of the corpus are looked
+up); labelled rows with a null url or label are left out; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 from .kernel import hash_words, words
 from .work import small, written
 
-MAX_WORD = 20
-
 #: Seed names: words of unwanted and of ordinary sites, as their owners would write them apart.
 #: Written by hand, without regard to the hosts of any table; words they don't have score 0.
 SEEDS: list[tuple[str, bool]] = [(x, True) for x in (
@@ -36,7 +35,7 @@ SEEDS: list[tuple[str, bool]] = [(x, True) for x in (
     "news today", "daily news", "personal blog", "science journal", "city library", "public school", "university research", "open source software", "code review", "weather report", "health care", "food recipes", "travel guide", "music review", "book store", "history museum", "local government", "sports news", "photo gallery", "web developer docs", "help forum", "garden club", "film archive", "art house", "data portal", "math notes", "wiki pages", "open encyclopedia", "train timetable", "bank branch", "family doctor", "town council", "job offers", "house plans", "recipe book", "language course",
 )]
 #: Names and paths of either kind hold these; they tell nothing.
-NEUTRAL = "www m blog com net org info en fr de es html htm php index page utm source feed ref top example x".split()
+NEUTRAL = "www m blog com net org info en fr de es html htm php index page utm source feed ref".split()
 
 
 def host_of(url: Column) -> Column:
@@ -51,14 +50,20 @@ def path_of(url: Column) -> Column:
 def segment(label: str, log_p: dict[str, float], unknown: float) -> list[str]:
     """The most probable split of ``label``; ``unknown``: log-probability of an unknown piece without its length."""
     n = len(label)
+    sizes = sorted({len(w) for w in log_p}, reverse=True)
     best = [0.0] + [-math.inf] * n
     back = [0] * (n + 1)
+    run, begin = -math.inf, 0  # the best split that ends in an unknown piece, and where that begins
     for end in range(1, n + 1):
-        for start in range(max(0, end - MAX_WORD), end):
-            piece = label[start:end]
-            p = best[start] + log_p.get(piece, unknown - (end - start) * math.log(10))
-            if p > best[end] + 1e-12:
-                best[end], back[end] = p, start
+        if best[end - 1] + unknown > run + 1e-12:
+            run, begin = best[end - 1] + unknown, end - 1
+        run -= math.log(10)
+        best[end], back[end] = run, begin
+        for size in sizes:
+            if size <= end and (p := log_p.get(label[end - size : end])) is not None:
+                p += best[end - size]
+                if p > best[end] + 1e-12 or (p > best[end] - 1e-12 and end - size < back[end]):
+                    best[end], back[end] = p, end - size
     out, end = [], n
     while end:
         out.append(label[back[end] : end])
@@ -71,23 +76,26 @@ def pieces(host: str) -> list[str]:
 
 
 def _word_counts(batches):
+    """(hash, letters, occurrences) of the words of each batch."""
     for b in batches:
-        h, c = [], []
+        h, size, c = [], [], []
         for w in words(b.column("text")):
-            short = (w.end - w.start) <= MAX_WORD
-            u, n = np.unique(w.hash[short], return_counts=True)
+            inner = np.concatenate([[0], np.cumsum((w.raw & 0xC0) == 0x80)])  # bytes that go on with a letter
+            u, at, n = np.unique(w.hash, return_index=True, return_counts=True)
             h.append(u)
+            size.append((w.end - w.start - inner[w.end] + inner[w.start])[at])
             c.append(n)
-        h, c = np.concatenate(h or [np.zeros(0, np.uint64)]), np.concatenate(c or [np.zeros(0, np.int64)])
-        u, inv = np.unique(h, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(inv, c, len(u)).astype(np.int64))], names=["h", "c"])
+        h, size, c = (np.concatenate(x or [np.zeros(0, t)]) for x, t in ((h, np.uint64), (size, np.int64), (c, np.int64)))
+        u, at, inv = np.unique(h, return_index=True, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(size[at].astype(np.int32)), pa.array(np.bincount(inv, c, len(u)).astype(np.int64))], names=["h", "size", "c"])
 
 
-def _substrings(batches):
+def _substrings(batches, sizes: list[int]):
+    """The substrings of each host that are as long as some word."""
     for b in batches:
         hosts, subs = [], []
         for host in b.column("host").to_pylist():
-            mine = {p[i:j] for p in pieces(host) for i in range(len(p)) for j in range(i + 1, min(len(p), i + MAX_WORD) + 1)}
+            mine = {p[i : i + k] for p in pieces(host) for k in sizes if k <= len(p) for i in range(len(p) - k + 1)}
             hosts += [host] * len(mine)
             subs += sorted(mine)
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subs, pa.string()), pa.array(hash_words(subs).view(np.int64))], names=["host", "word", "h"])
@@ -96,8 +104,8 @@ def _substrings(batches):
 class NaiveBayes:
     """Multinomial, add-one smoothing, equal priors: log-odds of unwanted against wanted."""
 
-    def __init__(self, seeds: list[tuple[str, bool]]):
-        bad, good = Counter(w for s, y in seeds if y for w in s.split()), Counter(w for s, y in seeds if not y for w in s.split())
+    def __init__(self, names: list[tuple[list[str], bool]]):
+        bad, good = Counter(w for s, y in names if y for w in s), Counter(w for s, y in names if not y for w in s)
         for w in NEUTRAL:
             bad[w] = good[w] = max(bad[w], good[w], 1)
         vocabulary = set(bad) | set(good)
@@ -116,21 +124,25 @@ def visible(html: Column) -> Column:
 
 def segmented_hosts(hosts: DataFrame, texts: DataFrame, seeds: list[tuple[str, bool]]) -> DataFrame:
     """(host, words) of the distinct ``hosts`` (one column), by the word counts of ``texts`` (one column, text) and the seeds."""
-    counts = written(texts.mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "url-words")
-    total = counts.agg(F.sum("c")).first()[0] or 0
+    counts = written(texts.mapInArrow(_word_counts, "h long, size int, c long").groupBy("h", "size").agg(F.sum("c").alias("c")), "url-words")
+    by_size = counts.groupBy("size").agg(F.sum("c").alias("c")).collect()  # one row for each length of a word
+    total, sizes = sum(r["c"] for r in by_size), sorted(r["size"] for r in by_size)
     extra = Counter(w for s, _ in seeds for w in s.split())
     # Seed words count as if the corpus had them once in a hundred thousand words.
     boost = max(1.0, total / 1e5)
     total += boost * sum(extra.values())
-    subs = hosts.distinct().mapInArrow(_substrings, "host string, word string, h long")
-    known = subs.join(counts, "h", "left").groupBy("host").agg(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("word", "c"))).alias("known"))
+    subs = hosts.mapInArrow(lambda it: _substrings(it, sizes), "host string, word string, h long")
+    subs = subs.unionByName(hosts.select("host", F.lit("").alias("word"), F.lit(0).cast("long").alias("h")))  # hosts without a substring, too
+    known = subs.join(counts.select("h", "c"), "h", "left").groupBy("host").agg(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("word", "c"))).alias("known"))
+
+    own = sorted({len(w) for w in extra})
 
     def split(batches):
         for b in batches:
             out = []
             for host, known in zip(b.column("host").to_pylist(), b.column("known").to_pylist()):
                 log_p = {k["word"]: k["c"] for k in known}
-                for w in {p[i:j] for p in pieces(host) for i in range(len(p)) for j in range(i + 1, len(p) + 1)} & extra.keys() if extra else ():
+                for w in {p[i : i + k] for p in pieces(host) for k in own for i in range(len(p) - k + 1)} & extra.keys():
                     log_p[w] = log_p.get(w, 0) + boost * extra[w]
                 log_p = {w: math.log(c / total) for w, c in log_p.items()}
                 out.append([w for p in pieces(host) for w in segment(p, log_p, math.log(10 / max(total, 1)))])
@@ -139,12 +151,19 @@ def segmented_hosts(hosts: DataFrame, texts: DataFrame, seeds: list[tuple[str, b
     return known.mapInArrow(split, "host string, words array<string>")
 
 
-def url_filter(pages: DataFrame, seeds: list[tuple[str, bool]] = SEEDS, threshold: float = 0.0) -> DataFrame:
+def url_filter(pages: DataFrame, seeds: list[tuple[str, bool]] = SEEDS, threshold: float = 0.0, labelled: DataFrame | None = None, sample: int = 50_000) -> DataFrame:
     """(page_id, host, host_words, score, blocked) of every page."""
     rows = pages.select(F.col("page_id").cast("long"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    hosts = rows.where("host IS NOT NULL").select("host").distinct()
-    split = written(segmented_hosts(hosts, pages.where("html IS NOT NULL").select(visible(F.col("html")).alias("text")), seeds), "url-hosts")
-    model = NaiveBayes(seeds)
+    hosts = rows.where("host IS NOT NULL").select("host")
+    if labelled is not None:
+        labelled = labelled.where("url IS NOT NULL AND unwanted IS NOT NULL").orderBy(F.xxhash64("url"), "url").limit(sample)
+        labelled = written(labelled.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), (F.col("unwanted").cast("int") > 0).alias("y")), "url-labels")
+        hosts = hosts.unionByName(labelled.select("host"))
+    split = written(segmented_hosts(hosts.distinct(), pages.where("html IS NOT NULL").select(visible(F.col("html")).alias("text")), seeds), "url-hosts")
+    names = [(s.split(), y) for s, y in seeds]
+    if labelled is not None:
+        names += [(r["words"] + pieces(r["path"]), r["y"]) for r in labelled.join(split, "host").select("words", "path", "y").collect()]
+    model = NaiveBayes(names)
 
     def run(batches):
         for b in batches:

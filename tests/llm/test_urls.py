@@ -27,7 +27,7 @@ def test_segmentation_is_the_most_probable():
 
 def test_naive_bayes():
     seeds = [("win casino", True), ("daily news", False)]
-    nb = urls.NaiveBayes(seeds)
+    nb = urls.NaiveBayes([(s.split(), y) for s, y in seeds])
     v = len(set("win casino daily news".split()) | set(urls.NEUTRAL))
     n = 2 + len(urls.NEUTRAL) + v
     assert abs(nb.score(["win", "casino", "zzz"]) - 2 * (math.log(2 / n) - math.log(1 / n))) < 1e-9
@@ -64,3 +64,22 @@ def test_concatenated_names_outside_the_seeds(spark):
     out = {r["page_id"]: r for r in urls.url_filter(df).collect()}
     assert [out[k]["blocked"] for k in range(len(names))] == list(names.values())
     assert out[0]["host_words"] == ["online", "poker", "win", "com"]
+
+
+def test_words_of_any_length(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    assert urls.segment(long + "news", {long: -9.0, "news": -6.0, "donau": -8.0}, -14.0) == [long, "news"]
+    df = spark.createDataFrame([(1, f"http://{long}news.de/", f"<p>{long} news straße</p>" * 50), (2, "http://straßenews.de/", None)], "page_id long, url string, html string")
+    out = {r["page_id"]: r["host_words"] for r in urls.url_filter(df).collect()}
+    assert out == {1: [long, "news", "de"], 2: ["straße", "news", "de"]}
+
+
+def test_learns_from_labelled_urls(spark):
+    """Words that no seed has are learned from labelled hosts; hosts held out, of the same words in other order, are told apart."""
+    bad, good = "gizmo blarg quonk zlorp".split(), "fable meadow harbor violin".split()
+    pairs = [(a, b) for k in (bad, good) for a in k for b in k if a != b]
+    rows = [(f"http://{a}{b}.com/", int(a in bad)) for a, b in pairs if a < b]
+    held = [(k, f"http://{a}{b}.com/", "<p>" + " ".join(bad + good) + "</p>") for k, (a, b) in enumerate(pairs) if a > b]
+    table = spark.createDataFrame([*rows, (None, 1), ("http://x.com", None)], "url string, unwanted int")
+    out = {r["page_id"]: r["blocked"] for r in urls.url_filter(spark.createDataFrame(held, "page_id long, url string, html string"), labelled=table).collect()}
+    assert out == {k: pairs[k][0] in bad for k, _, _ in held} and len(set(out.values())) == 2
