@@ -14,7 +14,7 @@ is broadcast; beyond it, every 1,024th key is, and the rest is joined by that co
 
 Defined results: pages with a null url have no key and are left out; a null html is an empty body; a url without a
 scheme gets an empty host; repeated urls and repeated rows are captures of their own, all of which a look-up
-returns, in the order of page_id, null first; a key that was never captured returns nothing; whole bodies are stored;
+returns, in the order of page_id, null first; a key that was never captured returns nothing; line breaks in a url are escaped; whole bodies are stored;
 an empty table gives an empty index; extra columns are ignored.
 """
 
@@ -52,6 +52,7 @@ def surt(url: Column) -> Column:
 
 
 def record(url: str, html: bytes) -> bytes:
+    url = url.replace("\r", "%0D").replace("\n", "%0A")  # a header is one line
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + html
     ident = uuid.UUID(bytes=hashlib.md5(url.encode() + html).digest())
     head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{ident}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: {url}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(body)}\r\n\r\n"
@@ -202,7 +203,9 @@ def lookup(keys: DataFrame, directory: DataFrame, limit: int = BROADCAST_ROWS) -
             f.close()
 
     folder_of = shared_dir(directory.sparkSession)
-    return placed.repartition("file", "at").sortWithinPartitions("file", "at", "key").mapInArrow(fetch, "key string, page_id long, html binary")
+    # The pointers are few bytes, the records behind them many: the number of tasks follows that of the blocks.
+    tasks = min(n, max(directory.sparkSession.sparkContext.defaultParallelism, n // 8))
+    return placed.repartition(tasks, "file", "at").sortWithinPartitions("file", "at", "key").mapInArrow(fetch, "key string, page_id long, html binary")
 
 
 def _rows(out):

@@ -8,7 +8,7 @@ from quillspark.llm.work import fresh_path, written
 
 def rows():
     out = [(k, f"http://h{k % 7}.example.com:80/p/{k}?q=1#frag", f"<p>{k}</p>") for k in range(200)]
-    out += [(500, "https://a@EXAMPLE.org", "é" * 50_000), (501, "https://example.org/", None), (None, "http://h1.example.com/p/1?q=1", "again"), (502, None, "lost"), (503, "no scheme/x y", "s"), (504, "", ""), (3, "http://h3.example.com/p/3?q=1", "<p>3</p>")]
+    out += [(500, "https://a@EXAMPLE.org", "é" * 50_000), (501, "https://example.org/", None), (None, "http://h1.example.com/p/1?q=1", "again"), (502, None, "lost"), (503, "no scheme/x y", "s"), (504, "", ""), (505, "http://a/\r\n\r\nContent-Length: 1\nx", "broken"), (3, "http://h3.example.com/p/3?q=1", "<p>3</p>")]
     return out
 
 
@@ -19,7 +19,7 @@ def key_of(url):
     if mark and scheme.isalpha():
         cut = min([i for i in (rest.find("/"), rest.find("?")) if i >= 0], default=len(rest))
         host, path = rest[:cut].rpartition("@")[2].partition(":")[0].lower(), rest[cut:]
-    return ",".join(host.split(".")[::-1]) + ")" + (path if path.startswith("/") else "/" + path).replace(" ", "%20")
+    return ",".join(host.split(".")[::-1]) + ")" + (path if path.startswith("/") else "/" + path).replace(" ", "%20").replace("\n", "%0A").replace("\r", "%0D")
 
 
 def pages(spark):
