@@ -7,15 +7,15 @@ the item's n words (case and punctuation don't count). Per document and item:
    2d + 1: the rarest 2d + 1 of each item are probed in one look-up over the document's words, and each hit
    places an item-sized window. Windows that lack n - d of the item's words are dropped. Both steps
    lose nothing.
-2. CGK. Window and item walk their words with shared random bits (stay or go on, 3n steps), which maps
+2. CGK. Window and item walk their words with shared random bits (stay or go on, 2n steps), which maps
    edit distance to Hamming distance. Each of R repetitions samples K steps of the walk as a key;
-   a window goes on if one key equals the item's. R comes from simulated items with d edits, so that
-   the target recall is reached. Items are simulated by length and share of distinct words too; kinds that R
-   keys (``most`` at most) leave below the target skip this step.
+   a window goes on if one key equals the item's. R depends on the item's length and share of distinct words alone: it is the least with which
+   simulated items of that kind with d edits are found at the target recall. Kinds that would need more than ``most`` keys, and items
+   longer than ``LONG`` words, are verified without keys, which loses nothing.
 3. Exact verification: semi-global edit distance of the item against the window and 2d words around it.
 
-Items travel to the workers in slices of at most ``slice_rows`` (each slice is one more pass), so the
-size of what is broadcast is bounded however large the benchmark.
+Items travel to the workers in slices of at most ``slice_rows`` items and about ``slice_words`` words, each broadcast by itself and one more pass, so neither
+what is broadcast nor what the driver holds grows with the benchmark. The slices don't change the result.
 
 Items of fewer than ``least`` words are searched with d = 0, as exact runs of words; one word is probed by itself.
 
@@ -26,10 +26,11 @@ results; whole texts are searched; empty tables give an empty result (``drop_lea
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,10 @@ from .kernel import member, mix, words
 
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 _PAD = np.uint64(0)
+LONG = 256
+MOST = 64
+#: Cells of a table of windows or spans at most.
+CELLS = 1 << 22
 
 
 def pairs(h: np.ndarray) -> np.ndarray:
@@ -89,10 +94,47 @@ def distances(item: np.ndarray, n: np.ndarray, span: np.ndarray, width: np.ndarr
     return best
 
 
+def _where(samples: int, most: int) -> np.ndarray:
+    return np.random.default_rng(7).random((most, samples))
+
+
+def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.array([len(r) for r in rows], np.int64)
+    out = np.full((len(rows), int(n.max(initial=0))), _PAD)
+    out[np.arange(out.shape[1]) < n[:, None]] = np.concatenate(rows or [np.zeros(0, np.uint64)])
+    return out, n
+
+
+@cache
+def repetitions(n: int, quarter: int, d: int, target: float, samples: int = 2, most: int = MOST, draws: int = 300) -> int:
+    """The fewest keys that find ``target`` of simulated items of ``n`` words, ``quarter`` / 4 of them distinct, after d edits; 0 if ``most`` don't."""
+    rng = np.random.default_rng([n, quarter, d])
+    own = max(1, -(-n * quarter // 4))
+    plain, copies = [], []
+    for _ in range(draws):
+        t = rng.integers(1, 1 << 62, own).astype(np.uint64)
+        t = rng.permutation(np.concatenate([t, rng.choice(t, n - own)])) if own < n else t
+        plain.append(t)
+        e = t.tolist()
+        for _ in range(d):
+            p, kind = int(rng.integers(len(e))), rng.integers(3)
+            if kind == 0:
+                e[p] = int(rng.integers(1, 1 << 62))
+            elif kind == 1:
+                e.insert(p, int(rng.integers(1, 1 << 62)))
+            elif len(e) > 1:
+                e.pop(p)
+        copies.append(np.array(e[:n], np.uint64))
+    size, where = np.full(draws, n), _where(samples, most)
+    same = _keys(_padded([*copies, np.zeros(n, np.uint64)])[0][:-1], size, most, samples, where) == _keys(np.stack(plain), size, most, samples, where)
+    good = np.flatnonzero(np.logical_or.accumulate(same, axis=1).mean(0) >= target)
+    return int(good[0]) + 1 if len(good) else 0
+
+
 class Items:
     """What the search needs of a slice of the benchmark."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]], tolerance: float, least: int, target: float, samples: int = 2, most: int = 64):
+    def __init__(self, rows: list[tuple[int | None, str | None]], tolerance: float, least: int, target: float, samples: int = 2, most: int = MOST):
         hs = {}
         for w in words(pa.array([t for _, t in rows], pa.string())):
             for d in range(w.n):
@@ -102,14 +144,9 @@ class Items:
         self.text = [hs[k] for k in chosen]
         self.n = np.array([len(t) for t in self.text], np.int64)
         self.d = np.where(self.n < least, 0, np.floor(self.n * tolerance)).astype(np.int64)
-        self.width = int(self.n.max()) if len(self.n) else 0
-        self.table = np.full((len(self.n), self.width), _PAD)
-        for k, t in enumerate(self.text):
-            self.table[k, : len(t)] = t
         self.single = bool((self.n == 1).any())
         grams = [pairs(t) if len(t) > 1 else _alone(t) for t in self.text]
-        every = np.concatenate(grams or [np.zeros(0, np.uint64)])
-        u, c = np.unique(every, return_counts=True)
+        u, c = np.unique(np.concatenate(grams or [np.zeros(0, np.uint64)]), return_counts=True)
         ph, pi, pp = [], [], []
         for k, g in enumerate(grams):
             often = c[np.searchsorted(u, g)]
@@ -124,56 +161,29 @@ class Items:
         self.item = np.concatenate(pi or [np.zeros(0, np.int64)])[order]
         self.pos = np.concatenate(pp or [np.zeros(0, np.int64)])[order]
         self.vocab = np.unique(np.concatenate([mix(t ^ self._salt(np.int64(k))) for k, t in enumerate(self.text)] or [np.zeros(0, np.uint64)]))
-        rng = np.random.default_rng(7)
-        self.samples = samples
-        self.where = rng.random((most, samples))
-        self.reps = self._repetitions(rng, target, most)
-        self.where = self.where[: self.reps]
-        self.whole = self._short_of(rng, target)
-        self.key = _keys(self.table, self.n, self.reps, samples, self.where) if len(self.n) else np.zeros((0, self.reps), np.uint64)
+        self.samples, self.where = samples, _where(samples, most)
+        self.reps = np.array([0 if n > LONG else 1 if not d else repetitions(int(n), 4 * len(np.unique(t)) // int(n), int(d), target, samples, most) for n, d, t in zip(self.n, self.d, self.text)], np.int64)
+        self.key = np.zeros((len(self.n), int(self.reps.max(initial=0))), np.uint64)
+        for k in self._blocks(np.flatnonzero(self.reps > 0), self.n):
+            self.key[k] = self._keys_of([self.text[i] for i in k], self.n[k], self.key.shape[1])
 
     @staticmethod
     def _salt(k) -> np.ndarray:
         return mix((np.atleast_1d(k) + 1).astype(np.uint64))
 
-    def _repetitions(self, rng, target: float, most: int) -> int:
-        """The fewest repetitions that find ``target`` of simulated items with d edits each."""
-        k = np.flatnonzero(self.d > 0)
-        if not len(k):
-            return 1
-        found = np.logical_or.accumulate(self._same(rng, rng.choice(k, 400)), axis=1).mean(0)
-        good = np.flatnonzero(found >= target)
-        return int(good[0]) + 1 if len(good) else most
-
-    def _short_of(self, rng, target: float, draws: int = 100) -> np.ndarray:
-        """Items of the kinds (length, quarter of distinct words) of which the repetitions find less than ``target``."""
-        out = np.zeros(len(self.n), bool)
-        kinds: dict[tuple[int, int], list[int]] = {}
-        for k in np.flatnonzero(self.d > 0).tolist():
-            kinds.setdefault((int(self.n[k]), 4 * len(np.unique(self.text[k])) // int(self.n[k])), []).append(k)
-        for own in kinds.values():
-            out[own] = self._same(rng, rng.choice(own, draws)).any(1).mean() < target
-        return out
-
-    def _same(self, rng, k: np.ndarray) -> np.ndarray:
-        """(items, repetitions): whether the keys of items ``k`` and of copies with d edits agree."""
-        width = int(self.n[k].max())
-        rows = np.full((len(k), width), _PAD)
-        for r, i in enumerate(k):
-            t = list(self.text[i])
-            for _ in range(self.d[i]):
-                p = int(rng.integers(len(t)))
-                kind = rng.integers(3)
-                if kind == 0:
-                    t[p] = np.uint64(rng.integers(1, 1 << 62))
-                elif kind == 1:
-                    t.insert(p, np.uint64(rng.integers(1, 1 << 62)))
-                elif len(t) > 1:
-                    t.pop(p)
-            t = t[: self.n[i]]
-            rows[r, : len(t)] = t
-        mine = _keys(rows, self.n[k], len(self.where), self.samples, self.where)
-        return mine == _keys(self.table[k, :width], self.n[k], len(self.where), self.samples, self.where)
+    def _keys_of(self, rows: list[np.ndarray], n: np.ndarray, reps: int) -> np.ndarray:
+        text, _ = _padded([*rows, np.zeros(int(n.max()), np.uint64)])
+        return _keys(text[:-1], n, reps, self.samples, self.where[:reps])
+
+    @staticmethod
+    def _blocks(rows: np.ndarray, width: np.ndarray):
+        """``rows`` by falling width, in blocks whose padded tables have at most ``CELLS`` cells."""
+        rows = rows[np.argsort(-width[rows], kind="stable")]
+        a = 0
+        while a < len(rows):
+            z = a + max(1, min(4096, CELLS // max(1, int(width[rows[a]]))))
+            yield rows[a:z]
+            a = z
 
     def search(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, distance) of every leak."""
@@ -206,22 +216,23 @@ class Items:
             doc, item, start = doc[new], item[new], start[new]
             n, d = self.n[item], self.d[item]
             begin, stop = np.maximum(start - 2 * d, w.first[doc]), np.minimum(start + n + 2 * d, w.first[doc + 1])
-            size = stop - begin
-            # How many of the span's words the item has: n - d at least, or it can't match.
-            total = np.cumsum(size)
-            idx = np.repeat(begin - np.concatenate([[0], total[:-1]]), size) + np.arange(total[-1])
-            has = member(mix(w.hash[idx] ^ np.repeat(self._salt(item), size)), self.vocab) >= 0
-            seen = np.concatenate([[0], np.cumsum(has)])[np.concatenate([[0], total])]
-            good = np.flatnonzero(np.diff(seen) >= n - d)
-            for q in good:
-                docs.append(w.lo + doc[q])
-                its.append(item[q])
-                spans.append((w.hash[begin[q] : stop[q]], start[q] - begin[q]))
+            for block in self._blocks(np.arange(len(item)), stop - begin):
+                size = (stop - begin)[block]
+                # How many of the span's words the item has: n - d at least, or it can't match.
+                total = np.cumsum(size)
+                idx = np.repeat(begin[block] - np.concatenate([[0], total[:-1]]), size) + np.arange(total[-1])
+                has = member(mix(w.hash[idx] ^ np.repeat(self._salt(item[block]), size)), self.vocab) >= 0
+                seen = np.concatenate([[0], np.cumsum(has)])[np.concatenate([[0], total])]
+                for q in block[np.flatnonzero(np.diff(seen) >= (n - d)[block])].tolist():
+                    docs.append(w.lo + doc[q])
+                    its.append(item[q])
+                    spans.append((w.hash[begin[q] : stop[q]], start[q] - begin[q]))
         if not docs:
             z = np.zeros(0, np.int64)
             return z, z, z
         row, item = np.array(docs), np.array(its)
-        out = [self._verify(row[k : k + 4096], item[k : k + 4096], spans[k : k + 4096]) for k in range(0, len(row), 4096)]
+        width = np.array([len(s) for s, _ in spans])
+        out = [self._verify(row[k], item[k], [spans[i] for i in k]) for k in self._blocks(np.arange(len(row)), width)]
         row, item, dist = (np.concatenate(x) for x in zip(*out))
         order = np.lexsort((dist, item, row))
         row, item, dist = row[order], item[order], dist[order]
@@ -230,36 +241,44 @@ class Items:
         return row[first], item[first], dist[first]
 
     def _verify(self, row, item, spans):
-        n = self.n[item]
-        window = np.full((len(row), self.width), _PAD)
-        size = np.array([len(s) for s, _ in spans])
-        span = np.full((len(row), int(size.max())), _PAD)
-        for q, (s, off) in enumerate(spans):
-            span[q, : len(s)] = s
-            part = s[max(off, 0) : max(off, 0) + n[q]]
-            window[q, : len(part)] = part
-        near = self.whole[item].copy()
+        reps = self.reps[item]
+        near = reps == 0
         part = np.flatnonzero(~near)
-        near[part] = (_keys(window[part], n[part], self.reps, self.samples, self.where) == self.key[item[part]]).any(1)
+        if len(part):
+            n = self.n[item[part]]
+            windows = [spans[q][0][max(spans[q][1], 0) : max(spans[q][1], 0) + self.n[item[q]]] for q in part]
+            most = int(reps[part].max())
+            same = self._keys_of(windows, n, most) == self.key[item[part], :most]
+            near[part] = (same & (np.arange(most) < reps[part, None])).any(1)
         k = np.flatnonzero(near)
-        dist = distances(self.table[item[k]], n[k], span[k], size[k])
+        if not len(k):
+            return row[k], item[k], np.zeros(0, np.int64)
+        text, n = _padded([self.text[i] for i in item[k]])
+        span, size = _padded([spans[q][0] for q in k])
+        dist = distances(text, n, span, size)
         good = dist <= self.d[item[k]]
         return row[k[good]], item[k[good]], dist[good]
 
 
-def slices(benchmark: DataFrame, tolerance: float, least: int, target: float, slice_rows: int) -> list[Items]:
-    rows = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    n = rows.count()
-    parts = max(1, -(-n // slice_rows))
+def slices(benchmark: DataFrame, tolerance: float, least: int, target: float, slice_rows: int, slice_words: int) -> list[Broadcast]:
+    """``Items`` of each slice, broadcast one after another; the driver holds one at a time."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    parts = max(1, -(-n // slice_rows), -(-size // (6 * slice_words)))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    return [Items([(r[0], r[1]) for r in rows.where(part == k).orderBy("item_id", "text").collect()], tolerance, least, target) for k in range(parts)]
+    out = []
+    for k in range(parts):
+        items = Items([(r[0], r[1]) for r in rows.where(part == k).orderBy("item_id", "text").collect()], tolerance, least, target)
+        out.append(benchmark.sparkSession.sparkContext.broadcast(items))
+    return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.15, least: int = 8, target: float = 0.97, slice_rows: int = 100_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.15, least: int = 8, target: float = 0.97, slice_rows: int = 100_000, slice_words: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, distance, item_words) of every document and item it leaks."""
 
-    def search(items: Items):
+    def search(held: Broadcast):
         def run(batches):
+            items = held.value
             for b in batches:
                 row, item, dist = items.search(b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array([items.ids[i] for i in item], pa.int64()), pa.array(dist.astype(np.int32)), pa.array(items.n[item].astype(np.int32))], names=["doc_id", "item_id", "distance", "item_words"])
@@ -267,15 +286,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.15, least:
         return run
 
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    parts = [texts.mapInArrow(search(items), "doc_id long, item_id long, distance int, item_words int") for items in slices(benchmark.withColumn("item_id", F.col("item_id").cast("long")), tolerance, least, target, slice_rows)]
+    parts = [texts.mapInArrow(search(items), "doc_id long, item_id long, distance int, item_words int") for items in slices(benchmark, tolerance, least, target, slice_rows, slice_words)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.15, least: int = 8, target: float = 0.97, slice_rows: int = 100_000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.15, least: int = 8, target: float = 0.97, slice_rows: int = 100_000, slice_words: int = 4_000_000) -> DataFrame:
     """The rows of ``docs``, all columns, that leak no item."""
 
-    def clean(items: Items):
+    def clean(held: Broadcast):
         def run(batches):
+            items = held.value
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 keep[items.search(b.column("text"))[0]] = False
@@ -283,7 +303,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.15, l
 
         return run
 
-    for items in slices(benchmark, tolerance, least, target, slice_rows):
+    for items in slices(benchmark, tolerance, least, target, slice_rows, slice_words):
         docs = docs.mapInArrow(clean(items), docs.schema)
     return docs
 
