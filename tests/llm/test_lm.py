@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quillspark.llm import lm
 from quillspark.llm.kernel import words
@@ -14,11 +15,10 @@ def corpus(n=120, seed=0):
     return [" ".join(rng.choice(vocab, rng.integers(1, 80), p=p / p.sum())) for _ in range(n)]
 
 
-def exact(texts, pair=0.8, floor=0.05):
+def exact(texts, order=2, weight=0.8, discount=0.75, floor=0.05):
     """The same model with exact look-ups of the quantised counts."""
     seq = [t.split() for t in texts]
-    one = Counter(w for s in seq for w in s) + Counter({"<s>": sum(bool(s) for s in seq)})
-    two = Counter(p for s in seq for p in zip(["<s>", *s], s))
+    runs = [Counter(tuple(["<s>"] * n + s)[i : i + n + 1] for s in seq for i in range(len(s))) for n in range(order)]
     level = lambda c: int(np.floor(np.log2(c))) + 1
 
     def means(counts):
@@ -28,23 +28,29 @@ def exact(texts, pair=0.8, floor=0.05):
             n[level(c)] += 1
         return {q: sums[q] / n[q] for q in n}
 
-    m1, m2 = means(one), means(two)
-    tokens = sum(two.values())
+    mean = [means(c) for c in runs]
+    count = lambda n, g: mean[n][level(runs[n][g])]
+    tokens, starts = sum(runs[0].values()), sum(bool(s) for s in seq)
     out = []
     for s in seq:
         total = 0.0
-        for v, w in zip(["<s>", *s], s):
-            p = (1 - floor) * m1[level(one[w])] / tokens + floor / len(one)
-            total += np.log2(pair * min(1.0, m2[level(two[v, w])] / m1[level(one[v])]) + (1 - pair) * p)
+        for i, w in enumerate(s):
+            p = (1 - floor) * count(0, (w,)) / tokens + floor / len(runs[0])
+            for n in range(1, order):
+                g = tuple(["<s>"] * n + s)[i : i + n + 1]
+                context = count(n - 1, g[:-1]) if i else starts
+                p = weight * min(1.0, max(0.0, count(n, g) - discount) / context) + (1 - weight) * p
+            total += np.log2(p)
         out.append((len(s), total))
     return out
 
 
-def test_scores_against_exact_counts(spark):
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_against_exact_counts(spark, order):
     texts = corpus()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in lm.score(df).collect()}
-    want = exact(texts)
+    got = {r["doc_id"]: r for r in lm.score(df, order=order).collect()}
+    want = exact(texts, order)
     off = []
     for k, (n, total) in enumerate(want):
         assert got[k]["tokens"] == n
@@ -52,32 +58,38 @@ def test_scores_against_exact_counts(spark):
     assert np.mean(off) < 0.1 and len(got) == len(texts)  # bits a word: false positives only
 
 
-def test_many_passes_agree_with_one(spark):
-    df = spark.createDataFrame(list(enumerate([*corpus(60), "", "zz qq"])), "doc_id long, text string")
-    one = sorted(map(tuple, lm.score(df).collect()), key=str)
-    many = sorted(map(tuple, lm.score(df, most_bytes=700).collect()), key=str)
-    assert one == many
+def test_looking_up_by_shuffle_agrees_with_broadcast(spark):
+    df = spark.createDataFrame(list(enumerate([*corpus(60), "", "zz qq", None])), "doc_id long, text string")
+    for order in (2, 3):
+        one = sorted(map(tuple, lm.score(df, order=order).collect()), key=str)
+        many = sorted(map(tuple, lm.score(df, most_bytes=0, order=order).collect()), key=str)
+        assert one == many and len(one) == 63
+    assert lm.score(df.where("false"), most_bytes=-1).count() == 0
+
+
+def test_repeated_texts_are_told_apart(spark):
+    texts = corpus(200, 3)
+    texts += texts[:50]
+    got = {r["doc_id"]: r["perplexity"] for r in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    long = [k for k, t in enumerate(texts) if len(t.split()) > 20]
+    twice, once = [got[k] for k in long if k < 50], [got[k] for k in long if 50 <= k < 200]
+    assert np.quantile(twice, 0.9) < np.quantile(once, 0.1)
 
 
 def test_filter_has_no_false_negatives():
     rng = np.random.default_rng(1)
     h = np.unique(rng.integers(0, 1 << 48, 3000).astype(np.uint64))
     c = rng.integers(1, 500, len(h))
-    parts = []
-    blocks = {}
-    for x, n in zip(h, c):
-        blocks.setdefault(int(x >> np.uint64(36)), []).append((x, n))
-    for bucket, items in blocks.items():
-        hs = np.array([x for x, _ in items], np.uint64)
-        block = (hs & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((hs >> np.uint64(32)) & np.uint64(15)).astype(np.uint8).tobytes() + np.array([n for _, n in items], "<u4").tobytes()
-        batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([bucket], pa.int32()), pa.array([[block]], pa.list_(pa.binary()))], names=["n", "bucket", "blocks"])
-        out = next(lm._build(iter([batch])))
-        parts.append((1, bucket, out.column("bits")[0].as_py(), out.column("size")[0].as_py()))
-    got = lm.Shard(parts).levels(h, 1).astype(int)
-    want = lm.level(c)
-    assert (got >= want).all() and (got == want).mean() > 0.9
-    absent = rng.integers(0, 1 << 48, 20_000).astype(np.uint64)
-    assert (lm.Shard(parts).levels(absent, 1) > 0).mean() < 0.05
+    for bits in (8, 12):
+        parts = []
+        for bucket, a, z, block in lm._blocks(h, bits):
+            batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([bucket], pa.int32()), pa.array([[block + c[a:z].astype("<u4").tobytes()]], pa.list_(pa.binary()))], names=["n", "bucket", "blocks"])
+            parts.append(next(lm._build(iter([batch]))))
+        held = lm.Filter(pa.Table.from_batches(parts), bits)
+        got, want = held.levels(h, 0).astype(int), lm.level(c)
+        assert (got >= want).all() and (got == want).mean() > 0.9
+        absent = rng.integers(0, 1 << 48, 20_000).astype(np.uint64)
+        assert (held.levels(absent, 0) > 0).mean() < 0.05
 
 
 def test_pairs_do_not_cross_documents():
