@@ -15,7 +15,7 @@ from ..session import spread
 from ..sources.documents import from_frame
 from . import prompts as pr
 from .index import Index, compile_index
-from .oracle import backoff, statement
+from .oracle import RERANK, TRACE, WORD, backoff, partial, serving, statement, steps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -284,13 +284,13 @@ def context_support(spark, sf_dir):
 # Serving
 
 
-@query("suggest_batch")
+@query("suggest_batch", statement("SELECT prompt_id, rank, suggestion AS text, round(score, 6) AS score FROM top", serving("prompt_id >= 0")))
 def suggest_batch(spark, sf_dir):
     """Suggestions for a prompt of every document."""
     return _shown(beam.inspect(pr.document_prompts(documents(spark, sf_dir)), index_of(spark, sf_dir)))
 
 
-@query("suggest_continuation")
+@query("suggest_continuation", statement("SELECT -1 - prompt_id AS prompt_id, rank, suggestion AS text, round(score, 6) AS score FROM top", serving("prompt_id < 0")))
 def suggest_continuation(spark, sf_dir):
     return _shown(beam.inspect(pr.continuation_prompts(documents(spark, sf_dir)), index_of(spark, sf_dir)))
 
@@ -299,7 +299,9 @@ def _shown(rows: DataFrame) -> DataFrame:
     return rows.select("prompt_id", "rank", "text", F.round("score", 6).alias("score"))
 
 
-@query("inspect_batch")
+@query("inspect_batch", statement(f"""SELECT prompt_id, rank, suggestion AS text, round(score, 6) AS score, round(prior, 6) AS prior_score, round(scorer_score, 6) AS scorer_score, round(noise_penalty, 6) AS noise_penalty,
+    round(ratio, 6) AS context_support_ratio, 0.0::DOUBLE AS length_adjustment, array_to_string(list_transform(string_split(suggestion, ' '), lambda x: regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]', '', 'g')), ' ') AS diversity_group_key,
+    {steps()} AS trace, matched FROM st""", serving("prompt_id >= 0", collapse=False) | TRACE))
 def inspect_batch(spark, sf_dir):
     """Suggestions with their breakdown, trace and prefix match, without collapsing ladders."""
     rows = beam.inspect(pr.document_prompts(documents(spark, sf_dir)), index_of(spark, sf_dir), SuggestConfig(collapse_prefix_ladders=False))
@@ -307,7 +309,7 @@ def inspect_batch(spark, sf_dir):
     return rows.select("prompt_id", "rank", "text", F.round("score", 6).alias("score"), *[F.round(f"breakdown.{n}", 6).alias(n) for n in ("prior_score", "scorer_score", "noise_penalty", "context_support_ratio", "length_adjustment")], "diversity_group_key", steps.alias("trace"), F.col("prefix_match.matched").alias("matched"))
 
 
-@query("heuristic_rerank")
+@query("heuristic_rerank", statement("SELECT prompt_id, rank, text FROM ro", serving("prompt_id >= 0") | RERANK))
 def heuristic_rerank(spark, sf_dir):
     p = pr.document_prompts(documents(spark, sf_dir))
     ranked = beam.suggest(p, index_of(spark, sf_dir)).join(p.select("prompt_id", F.col("text").alias("prefix")), "prompt_id")
@@ -335,7 +337,10 @@ def dedupe_candidates(spark, sf_dir):
     return rerank.dedupe_candidates(rows, "source").select("source", F.md5("text").alias("text_md5"), "score")
 
 
-@query("prompt_generation")
+@query("prompt_generation", statement("SELECT ord, query FROM pg ORDER BY ord LIMIT 128", {
+    "ln": rf"SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)",
+    "lm": f"SELECT doc_id, line_no, a, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS i FROM (SELECT doc_id, line_no, regexp_extract_all(lower(line), '{WORD}') AS a FROM ln) WHERE len(a) >= 4",
+    "pg": f"""SELECT query, min(i * 4 + q) AS ord FROM (SELECT i, q, array_to_string(a[1:q], ' ') || ' ' || {partial('a[q + 1]')} AS query FROM lm, (VALUES (1), (2), (3)) t(q) WHERE i % greatest(1, (SELECT count(*) FROM lm) // 384) = 0) GROUP BY query"""}))
 def prompt_generation(spark, sf_dir):
     return pr.stride_prompts(documents(spark, sf_dir)).select("ord", "query")
 
