@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BuildConfig, SuggestConfig, apply_quality_profile, to_dict
-from ..operators import beam
+from ..operators import beam, ngrams
+from ..operators.local import SCHEMA, LocalServer, words_of
 from ..operators.rerank import BaseReranker
 from ..sources.documents import from_items
 from .index import BuildStats, Index, compile_index, load_index, save_index
 
 ROOT = ".quillspark_indexes"
+#: Prompts given as strings that are answered on the driver, if the index fits there.
+FEW = 256
 
 
 def index_path(name: str | Path) -> str:
@@ -51,6 +54,8 @@ class Autocomplete:
 
     def __init__(self, index: Index, suggest_config: SuggestConfig | None = None, documents: DataFrame | None = None, loaded: bool = False):
         self.index, self.suggest_config, self._documents, self.loaded = index, suggest_config or SuggestConfig(), documents, loaded
+        self._local: LocalServer | None = None
+        self._asked = False
 
     @classmethod
     def create(cls, spark: SparkSession, documents: DataFrame | Iterable[Any], build_config: BuildConfig | None = None, suggest_config: SuggestConfig | None = None, quality_profile: str = "balanced", max_generated_words: int | None = None, phrase_min_count: int | None = None) -> Autocomplete:
@@ -92,18 +97,34 @@ class Autocomplete:
         """The source documents; None after ``load``."""
         return self._documents
 
+    def local(self) -> LocalServer | None:
+        """The index in the driver's memory, read at the first call; None where it is too large for that."""
+        if not self._asked:
+            self._local, self._asked = LocalServer.load(self.index), True
+        return self._local
+
     def warm(self) -> Autocomplete:
-        """Reads the serving tables into the executors' memory."""
-        for name in ("postings", "context", "support"):
-            self.index.tables[name] = self.index[name].persist()
-            self.index[name].count()
+        """Reads the index into the driver's memory, or, where it is too large, its serving tables into the executors'; answers one prompt."""
+        server = self.local()
+        if server is None:
+            for name in ("postings", "context", "support"):
+                self.index.tables[name] = self.index[name].persist()
+                self.index[name].count()
+        else:
+            server.inspect([(0, next(iter(server.prefix), ""))], self.suggest_config)
         return self
 
+    def release(self) -> None:
+        """Gives back what ``warm`` holds."""
+        self._local, self._asked = None, False
+        for name in ("postings", "context", "support"):
+            self.index[name].unpersist()
+
     def _settings(self, suggest_config: SuggestConfig | None, collapse: bool | None) -> SuggestConfig:
         cfg = suggest_config or self.suggest_config
         return cfg if collapse is None else dataclasses.replace(cfg, collapse_prefix_ladders=bool(collapse))
 
-    def _warn(self, prompts: DataFrame, cfg: SuggestConfig, max_words: int | None) -> None:
+    def _warn(self, prompts: DataFrame | list[str], cfg: SuggestConfig, max_words: int | None) -> None:
         b = self.build_config
         words = max(1, cfg.max_suggestion_words if max_words is None else max_words)
         if words > b.max_generated_words:
@@ -112,16 +133,24 @@ class Autocomplete:
             warnings.warn(f"token_branch_limit={cfg.token_branch_limit} is more than the {b.top_next_tokens} next tokens that are stored", UserWarning, stacklevel=4)
         if cfg.phrase_branch_limit > b.top_next_phrases:
             warnings.warn(f"phrase_branch_limit={cfg.phrase_branch_limit} is more than the {b.top_next_phrases} next phrases that are stored", UserWarning, stacklevel=4)
-        longest = beam.parse(prompts, b.normalization).agg(F.max(F.length("frag"))).first()[0] or 0
+        if isinstance(prompts, DataFrame):
+            longest = beam.parse(prompts, b.normalization).agg(F.max(F.length("frag"))).first()[0] or 0
+        else:
+            longest = max((len(w[-1]) for t in prompts if t and not t[-1:].isspace() and (w := words_of(t, b.normalization))), default=0)
         if longest > b.max_indexed_prefix_chars:
             warnings.warn(f"a fragment has {longest} letters; prefixes are indexed up to {b.max_indexed_prefix_chars}", UserWarning, stacklevel=4)
 
     def inspect(self, prompts: DataFrame | str | Iterable[str], topk: int | None = None, max_words: int | None = None, length_bias: float | None = None, collapse_prefix_ladders: bool | None = None, suggest_config: SuggestConfig | None = None, reranker: BaseReranker | None = None) -> DataFrame:
         """Ranked suggestions with diagnostics, one row each."""
         cfg = self._settings(suggest_config, collapse_prefix_ladders)
+        if not isinstance(prompts, DataFrame):
+            prompts = [prompts] if isinstance(prompts, str) else list(prompts)
+        self._warn(prompts, cfg, max_words)
         frame = as_prompts(self.index.spark, prompts)
-        self._warn(frame, cfg, max_words)
-        rows = beam.inspect(frame, self.index, cfg, topk, max_words, length_bias)
+        if isinstance(prompts, list) and len(prompts) <= FEW and (server := self.local()):
+            rows = self.index.spark.createDataFrame(server.inspect(list(enumerate(prompts)), cfg, topk, max_words, length_bias), SCHEMA)
+        else:
+            rows = beam.inspect(frame, self.index, cfg, topk, max_words, length_bias)
         if reranker is None or type(reranker) is BaseReranker:
             return rows
         order = reranker.apply(rows.select("prompt_id", "rank", "text").join(frame.select("prompt_id", F.col("text").alias("prefix")), "prompt_id"))
@@ -133,6 +162,17 @@ class Autocomplete:
     def suggest(self, prompts: DataFrame | str | Iterable[str], **options: Any) -> DataFrame:
         return self.inspect(prompts, **options).select("prompt_id", "rank", "text")
 
-    def complete(self, text: str, **options: Any) -> list[str]:
+    def complete(self, text: str, topk: int | None = None, max_words: int | None = None, length_bias: float | None = None, collapse_prefix_ladders: bool | None = None, suggest_config: SuggestConfig | None = None, reranker: BaseReranker | None = None) -> list[str]:
         """The suggestions for one prompt, as a list."""
-        return [r["text"] for r in self.suggest(text, **options).orderBy("rank").collect()]
+        server = self.local()
+        if server is None:
+            rows = self.suggest(text, topk=topk, max_words=max_words, length_bias=length_bias, collapse_prefix_ladders=collapse_prefix_ladders, suggest_config=suggest_config, reranker=reranker)
+            return [r["text"] for r in rows.orderBy("rank").collect()]
+        cfg = self._settings(suggest_config, collapse_prefix_ladders)
+        self._warn([text], cfg, max_words)
+        found = [r[2] for r in server.inspect([(0, text)], cfg, topk, max_words, length_bias)]
+        return found if reranker is None else reranker.rerank(text, found)
+
+    def score(self, texts: DataFrame | str | Iterable[str]) -> DataFrame:
+        """(prompt_id, score): ln P of each text by the Kneser-Ney model, whatever its length."""
+        return ngrams.score_texts(as_prompts(self.index.spark, texts), self.index)
