@@ -37,7 +37,7 @@ from .work import fresh_path, written
 BITS, PROBES = 8, 4
 LEVELS = 48
 #: Chunks of text (half a megabyte each) whose distinct n-grams are gathered at once.
-CHUNKS = 32
+CHUNKS = 8
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 _BOS = np.uint64(0x1234567890ABCDEF)
 _CUT = np.uint64(16)
