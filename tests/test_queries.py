@@ -94,6 +94,26 @@ def test_edit_distance(spark):
         assert r["meet"] or want > 2
 
 
+def test_matches_against_plain_distance(spark):
+    """Deletions from the first letters alone lose no match, short or long."""
+    import random
+
+    from quillspark.config import SuggestConfig
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 13)))
+    prefixes = sorted({word() for _ in range(250)})
+    changed = lambda w: "".join(rng.choice(["", c, c, c, c, c + "a", "d"]) for c in w)
+    fragments = sorted({changed(rng.choice(prefixes)) for _ in range(120)} | {"biuld"} - {""})
+    post = spark.createDataFrame([(p, 1) for p in prefixes], "prefix string, rank int")
+    got = {(r["fragment"], r["matched"], r["dist"]) for r in fuzzy.match_prefixes(spark.createDataFrame([(f,) for f in fragments], "fragment string"), post, SuggestConfig()).collect()}
+    want = set()
+    for f in fragments:
+        most = 0 if len(f) < 3 else 1 if len(f) < 6 else 2
+        want |= {(f, f, 0)} if f in prefixes else {(f, p, d) for p in prefixes if 0 < (d := plain_distance(f, p)) <= most}
+    assert got == want and sum(d == 2 for _, _, d in want) > 20
+
+
 def fold(items):
     kept = []
     for w in items:
