@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
-
 LOG_FLOOR = 1e-12
 DISCOUNT = 0.75
 
@@ -90,24 +88,3 @@ def bigram_p(pair: Column, left_count: Column, left_followers: Column, continuat
 
 def log_p(p: Column) -> Column:
     return F.log(p + LOG_FLOOR)
-
-
-def score_texts(texts: DataFrame, index) -> DataFrame:
-    """(prompt_id, score): ln P of every text (prompt_id, text); 0 for a text without tokens. Whole texts count, whatever their length.
-
-    Each step is a pair of neighbours: equal pairs are scored once, so frequent ones don't make hot join keys.
-    """
-    cfg, totals = index.config.normalization, index.totals
-    flat = texts.select("prompt_id", F.transform(tokens(F.coalesce("text", F.lit("")), cfg), F.lower).alias("t"))
-    n = F.size("t")
-    step = lambda i: F.struct(F.when(i > 1, F.element_at("t", F.greatest(i - 1, F.lit(1)))).alias("left"), F.element_at("t", i).alias("right"))
-    steps = flat.where(n > 0).select("prompt_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), step)).alias("s")).groupBy("prompt_id", "s.left", "s.right").agg(F.count("*").alias("k"))
-    own = index["vocab"].select("token", "token_id", "unigram_count", "followers", "continuations")
-    left = own.select(F.col("token").alias("left"), F.col("token_id").alias("lid"), F.col("unigram_count").alias("lc"), F.col("followers").alias("lf"))
-    right = own.select(F.col("token").alias("right"), F.col("token_id").alias("rid"), F.col("unigram_count").alias("rc"), F.col("continuations").alias("rcont"))
-    pairs = index["bigrams"].select(F.col("left").alias("lid"), F.col("right").alias("rid"), F.col("c").alias("pair"))
-    kinds = steps.select("left", "right").distinct().join(left, "left", "left").join(right, "right", "left").join(pairs, ["lid", "rid"], "left")
-    p = F.when(F.col("left").isNull(), unigram_p(F.col("rc"), totals)).otherwise(bigram_p(F.col("pair"), F.col("lc"), F.col("lf"), F.col("rcont"), totals))
-    known = kinds.select("left", "right", log_p(p).alias("lp"))
-    total = steps.alias("a").join(known.alias("b"), F.col("a.left").eqNullSafe(F.col("b.left")) & (F.col("a.right") == F.col("b.right"))).groupBy("prompt_id").agg(F.sum(F.col("k") * F.col("lp")).alias("score"))
-    return texts.select("prompt_id").join(total, "prompt_id", "left").select("prompt_id", F.coalesce("score", F.lit(0.0)).alias("score"))

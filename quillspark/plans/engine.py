@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BuildConfig, SuggestConfig, apply_quality_profile, to_dict
-from ..operators import beam, ngrams
+from ..operators import beam
 from ..operators.local import SCHEMA, LocalServer, words_of
 from ..operators.rerank import BaseReranker
+from ..operators.scorer import KneserNey
 from ..sources.documents import from_items
 from .index import BuildStats, Index, compile_index, load_index, save_index
 
@@ -173,6 +174,14 @@ class Autocomplete:
         found = [r[2] for r in server.inspect([(0, text)], cfg, topk, max_words, length_bias)]
         return found if reranker is None else reranker.rerank(text, found)
 
+    @property
+    def scorer(self) -> KneserNey:
+        """The index's Kneser-Ney model over lower-cased tokens."""
+        vocab = self.index["vocab"].select("token_id", "token", F.col("unigram_count").alias("c"))
+        one = lambda side: vocab.select(F.col("token_id").alias(f"{side}_id"), F.col("token").alias(side))
+        pairs = self.index["bigrams"].select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), "c").join(one("left"), "left_id").join(one("right"), "right_id")
+        return KneserNey(vocab.select("token", "c"), pairs.select("left", "right", "c"))
+
     def score(self, texts: DataFrame | str | Iterable[str]) -> DataFrame:
-        """(prompt_id, score): ln P of each text by the Kneser-Ney model, whatever its length."""
-        return ngrams.score_texts(as_prompts(self.index.spark, texts), self.index)
+        """(prompt_id, score): ln P of each text, whatever its length."""
+        return self.scorer.score(as_prompts(self.index.spark, texts))

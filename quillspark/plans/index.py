@@ -134,9 +134,41 @@ def read_text(spark: SparkSession, path: str) -> str:
         raise ValueError(f"{path} can't be read: {e}") from e
 
 
+def index_bytes(index: Index) -> dict[str, int]:
+    """Bytes of the files of each table."""
+    out = {}
+    for name in TABLES:
+        out[name] = 0
+        for uri in index[name].inputFiles():
+            p, fs, _ = _fs(index.spark, uri)
+            out[name] += fs.getFileStatus(p).getLen()
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs, _ = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def read_table(spark: SparkSession, path: str, rows: int | None) -> DataFrame:
+    """A Parquet table of ``rows`` rows; a missing one raises FileNotFoundError, a damaged one ValueError. All columns of all rows are read for that."""
+    p, fs, _ = _fs(spark, path)
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    try:
+        table = spark.read.parquet(path)
+        found = table.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*table.columns).bitwiseAND(1)).alias("h")).first()["n"]
+    except Exception as e:
+        raise ValueError(f"{path} can't be read: {e}") from e
+    if found != rows:
+        raise ValueError(f"{path} has {found} rows; the manifest says {rows}")
+    return table
+
+
 def save_index(index: Index, path: str, extra: dict | None = None) -> None:
     """Writes the tables below ``path``; the manifest comes last, so a folder without one was never finished."""
     path = path.rstrip("/")
+    remove(index.spark, f"{path}/manifest.json")  # what it vouches for is about to change
     for name in TABLES:
         df = index[name]
         if name == "postings":
@@ -157,16 +189,5 @@ def load_index(spark: SparkSession, path: str) -> tuple[Index, dict]:
         raise ValueError(f"the manifest of {path} is damaged: {e}") from e
     if version != FORMAT:
         raise ValueError(f"{path} has format {version}; this is format {FORMAT}")
-    tables = {}
-    for name in TABLES:
-        p, fs, _ = _fs(spark, f"{path}/{name}")
-        if not fs.exists(p):
-            raise FileNotFoundError(f"{path}/{name}")
-        try:
-            tables[name] = spark.read.parquet(f"{path}/{name}")
-            found = tables[name].count()
-        except Exception as e:
-            raise ValueError(f"table {name} of {path} can't be read: {e}") from e
-        if found != rows.get(name):
-            raise ValueError(f"table {name} of {path} has {found} rows; the manifest says {rows.get(name)}")
+    tables = {name: read_table(spark, f"{path}/{name}", rows.get(name)) for name in TABLES}
     return Index(config, tables, totals, rows), manifest

@@ -1,7 +1,8 @@
 """A mutable document store: versions of a document table, deduplication by id and content, and a lazily rebuilt index.
 
-A change writes a new version beside the old one and then swaps a pointer file, so readers see one version or the
-other. There is one writer at a time. Classification of a batch is by joins and windows; a batch in which a new text
+A change writes a new version beside the old one and then a pointer file with the next number; the highest that can be
+read counts, so readers see one version or the other, and no moment is without one. There is one writer at a time: two
+that commit the same number are an error. Classification of a batch is by joins and windows; a batch in which a new text
 appears under several ids, or an id with several texts, is resolved in input order.
 """
 
@@ -13,19 +14,27 @@ from collections import OrderedDict
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from typing import Any
+from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import BuildConfig, SuggestConfig, apply_quality_profile, build_config as config_from, to_dict
+from ..operators.local import SCHEMA
+from ..session import shared_dir, small
 from ..sources.documents import Document, from_items
 from .engine import Autocomplete
-from .index import _fs, compile_index, load_index, read_text, save_index, write_text
+from .index import _fs, compile_index, index_bytes, load_index, read_text, remove, save_index, write_text
 
 _SCHEMA = "doc_ord long, doc_id string, text string, content_sha256 string, ingested_at timestamp"
-_ENGINES: OrderedDict[tuple[str, str], Autocomplete] = OrderedDict()
-ENGINES = 8
+_ENGINES: OrderedDict[tuple[str, str], tuple[Autocomplete, int]] = OrderedDict()
+#: Engines kept at most, and bytes of their index files.
+ENGINES, ENGINE_BYTES = 8, 256 << 20
+
+
+def _evict(gone: list[tuple[str, str]]) -> None:
+    for key in gone:
+        _ENGINES.pop(key)[0].release()
 
 
 @dataclass(frozen=True)
@@ -42,7 +51,7 @@ class InsertResult:
 
 
 class DocumentStore:
-    """Documents below one folder. ``path``: a folder or URI that all executors reach; ``sqlite:///`` forms name a folder too."""
+    """Documents below one folder. ``path``: a folder or URI that all executors reach; ``sqlite:///`` forms name a folder too, ``:memory:`` a new one among the session's temporary tables."""
 
     def __init__(self, spark: SparkSession, path: str, state: dict[str, Any]):
         self.spark, self.path, self._state = spark, path, state
@@ -59,12 +68,11 @@ class DocumentStore:
     @classmethod
     def open(cls, spark: SparkSession, url: str, build_config: BuildConfig | None = None, suggest_config: SuggestConfig | None = None, quality_profile: str | None = None) -> DocumentStore:
         """Opens or creates; explicit settings that differ from the stored ones are an error."""
-        path = cls._resolve(url)
-        try:
-            state = json.loads(read_text(spark, f"{path}/CURRENT.json"))
-        except FileNotFoundError:
+        path = f"{shared_dir(spark)}/store-{secrets.token_hex(8)}" if url == ":memory:" else cls._resolve(url)
+        state = cls._current(spark, path)
+        if state is None:
             build, serve = apply_quality_profile(quality_profile or "balanced", build_config, suggest_config)
-            state = {"version": 0, "documents": None, "index": None, "build": to_dict(build), "suggest": to_dict(serve), "next_ord": 0}
+            state = {"version": 0, "documents": None, "index": None, "commit": 0, "build": to_dict(build), "suggest": to_dict(serve), "next_ord": 0}
             store = cls(spark, path, state)
             store._commit(state)
             return store
@@ -75,16 +83,42 @@ class DocumentStore:
 
     open_or_create = open
 
+    @staticmethod
+    def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+        p, fs, _ = _fs(spark, f"{path}/CURRENT")
+        if not fs.exists(p):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        return sorted((int(n.removesuffix(".json")), f"{path}/CURRENT/{n}") for n in names if n.removesuffix(".json").isdigit())
+
+    @classmethod
+    def _current(cls, spark: SparkSession, path: str) -> dict[str, Any] | None:
+        """The state of the highest pointer that can be read; None where no store was ever made."""
+        found = cls._pointers(spark, path)
+        for _, name in reversed(found):
+            try:
+                return json.loads(read_text(spark, name))
+            except (ValueError, FileNotFoundError):  # damaged, or an older one just cleared away
+                continue
+        p, fs, _ = _fs(spark, f"{path}/documents")
+        if found or fs.exists(p):
+            raise ValueError(f"the store at {path} has lost its pointers")
+        return None
+
     def _commit(self, state: dict[str, Any]) -> None:
-        new = f"{self.path}/CURRENT.json.new"
+        state = state | {"commit": state["commit"] + 1}
+        target = f"{self.path}/CURRENT/{state['commit']}.json"
+        new = f"{self.path}/CURRENT/{state['commit']}-{secrets.token_hex(4)}.new"
         write_text(self.spark, new, json.dumps(state, sort_keys=True))
         src, fs, jvm = _fs(self.spark, new)
-        dst = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT.json")
-        if not fs.rename(src, dst):
-            fs.delete(dst, False)
-            if not fs.rename(src, dst):
-                raise OSError(f"can't replace {dst}")
+        dst = jvm.org.apache.hadoop.fs.Path(target)
+        if fs.exists(dst) or not fs.rename(src, dst):
+            fs.delete(src, False)
+            raise OSError(f"another writer has changed the store at {self.path}; open it again")
         self._state = state
+        for number, name in self._pointers(self.spark, self.path):
+            if number < state["commit"] - 2:
+                remove(self.spark, name)
 
     def _log(self, name: str, **values: Any) -> None:
         row = json.dumps(values | {"at": datetime.now(timezone.utc).isoformat()})
@@ -117,8 +151,7 @@ class DocumentStore:
     def _next(self, parts: list[str] | None, next_ord: int | None = None) -> None:
         old = self._state
         self._commit(old | {"version": old["version"] + 1, "documents": parts or None, "index": None, "next_ord": old["next_ord"] if next_ord is None else next_ord})
-        for key in [k for k in _ENGINES if k[0] == self.path]:
-            del _ENGINES[key]
+        _evict([k for k in _ENGINES if k[0] == self.path])
 
     def add_documents(self, items: DataFrame | Iterable[Any]) -> InsertResult:
         """Adds documents; empty texts are skipped, rows without an id get one.
@@ -133,7 +166,11 @@ class DocumentStore:
         staged = f"{self.path}/staging/{secrets.token_hex(4)}"
         batch.write.parquet(staged)
         batch = self.spark.read.schema(batch.schema).parquet(staged)
+        # Stored rows that share an id or a text with the batch; the others take no part in any window.
         have = self.documents().select("doc_id", F.col("content_sha256").alias("h"), F.col("doc_ord").alias("o"))
+        n = batch.count()
+        ids, texts = (small(batch.select(c).distinct(), n) for c in ("doc_id", "h"))
+        have = have.join(ids, "doc_id", "left_semi").unionByName(have.join(texts, "h", "left_semi")).distinct().select("doc_id", "h", "o")
         # Of all rows, stored before new ones, the first of an id and the first of a text.
         every = have.select("doc_id", "h", F.lit(0).alias("new"), F.col("o")).unionByName(batch.select("doc_id", "h", F.lit(1).alias("new"), F.col("doc_ord").alias("o")))
         order = F.struct("new", "o")
@@ -198,7 +235,7 @@ class DocumentStore:
         key = (self.path, state["index"] or "")
         if state["index"] and key in _ENGINES:
             _ENGINES.move_to_end(key)
-            return _ENGINES[key]
+            return _ENGINES[key][0]
         if not state["index"]:
             docs = self.documents()
             index = compile_index(docs.select("doc_ord", "text"), self.build_config)
@@ -208,19 +245,46 @@ class DocumentStore:
             self._log("build_history", index=name, **{k: int(v) for k, v in index.metadata.items()})
             key = (self.path, name)
         index, _ = load_index(self.spark, f"{self.path}/{key[1]}")
-        _ENGINES[key] = Autocomplete(index, self.suggest_config)
-        while len(_ENGINES) > ENGINES:
-            _ENGINES.popitem(last=False)
-        return _ENGINES[key]
+        _ENGINES[key] = Autocomplete(index, self.suggest_config, loaded=True), sum(index_bytes(index).values())
+        while len(_ENGINES) > 1 and (len(_ENGINES) > ENGINES or sum(n for _, n in _ENGINES.values()) > ENGINE_BYTES):
+            _evict([next(iter(_ENGINES))])
+        return _ENGINES[key][0]
 
     def with_suggest_config(self, cfg: SuggestConfig) -> Autocomplete:
         return Autocomplete(self.engine().index, cfg)
 
     def suggest(self, prompts, **options: Any) -> DataFrame:
-        return self.engine().suggest(prompts, **options)
+        """Suggestions for the prompts; none from a store without documents."""
+        return self.inspect(prompts, **options).select("prompt_id", "rank", "text")
+
+    def suggest_scored(self, prompts, **options: Any) -> DataFrame:
+        return self.inspect(prompts, **options).select("prompt_id", "rank", "text", "score")
 
     def inspect(self, prompts, **options: Any) -> DataFrame:
+        if self.documents().isEmpty():
+            return self.spark.createDataFrame([], SCHEMA)
         return self.engine().inspect(prompts, **options)
 
     def warm(self) -> None:
-        self.engine().warm()
+        """Builds the index if need be and reads it; nothing to do without documents."""
+        if not self.documents().isEmpty():
+            self.engine().warm()
+
+
+class BaseStore(Protocol):
+    """What a document store offers."""
+
+    def documents(self) -> DataFrame: ...
+    def list_documents(self) -> list[Document]: ...
+    def add_documents(self, items: DataFrame | Iterable[Any]) -> InsertResult: ...
+    def remove_document(self, doc_id: str) -> int: ...
+    def clear(self) -> None: ...
+    def migrate(self, url: str) -> BaseStore: ...
+    def import_autocomplete(self, engine: Autocomplete) -> InsertResult: ...
+    def history(self, name: str) -> list[dict[str, Any]]: ...
+    def engine(self) -> Autocomplete: ...
+    def with_suggest_config(self, cfg: SuggestConfig) -> Autocomplete: ...
+    def suggest(self, prompts: Any, **options: Any) -> DataFrame: ...
+    def suggest_scored(self, prompts: Any, **options: Any) -> DataFrame: ...
+    def inspect(self, prompts: Any, **options: Any) -> DataFrame: ...
+    def warm(self) -> None: ...
