@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from ..config import NormalizationConfig, SuggestConfig
 from ..functions.text import WS, noise, redundancy_form, tokens
 from ..plans.index import Index
-from ..session import written
+from ..session import small, written
 from .fuzzy import match_prefixes
 from .ngrams import bigram_p, continuation_p, log_p, unigram_p
 
 EDIT_PENALTY = 0.75
+#: Context keys (of some dozen bytes) that are broadcast at most.
+KEYS = 2_000_000
 WINDOW = 3
 _NO_MATCH = "struct<fragment:string,matched:string,edit_distance:int,fuzzy:boolean>"
 
@@ -27,27 +29,36 @@ def parse(prompts: DataFrame, cfg: NormalizationConfig) -> DataFrame:
     return tok.select("prompt_id", "text", F.when(done, F.col("tok")).otherwise(cut).alias("hist"), F.when(done | (F.size("tok") == 0), "").otherwise(F.element_at("tok", F.greatest(F.size("tok"), F.lit(1)))).alias("frag"))
 
 
-def history(parsed: DataFrame, index: Index) -> DataFrame:
-    """``parsed`` with hist_ids (null: unknown), the history's Kneser-Ney score and noise, its last token and support ratio."""
-    vocab = index["vocab"]
-    words = vocab.select("token", "token_id", "noise")
-    scorer = vocab.select(F.col("token").alias("low"), F.col("token_id").alias("kid"), F.col("unigram_count").alias("kc"), F.col("followers").alias("kf"), F.col("continuations").alias("kcont"))
+def named_history(parsed: DataFrame, index: Index) -> DataFrame:
+    """(prompt_id, h): the finished tokens of each prompt that has some, in order, with their ids and the scorer's facts; written once."""
+    vocab, n = index["vocab"], index.rows["vocab"]
+    words = small(vocab.select("token", "token_id"), n)
+    scorer = small(vocab.select(F.col("token").alias("low"), F.col("token_id").alias("kid"), F.col("unigram_count").alias("kc"), F.col("followers").alias("kf"), F.col("continuations").alias("kcont")), n)
     flat = parsed.select("prompt_id", F.posexplode("hist").alias("pos", "token")).withColumn("low", F.lower("token"))
-    named = flat.join(words.drop("noise"), "token", "left").join(scorer, "low", "left").withColumn("noise", noise(F.col("token")))
+    named = flat.join(words, "token", "left").join(scorer, "low", "left").withColumn("noise", noise(F.col("token")))
     x = F.struct("pos", F.col("token_id"), "kid", "kc", "kf", "kcont", "noise")
-    rows = written(named.groupBy("prompt_id").agg(F.array_sort(F.collect_list(x)).alias("h")), "serve-history")
+    return written(named.groupBy("prompt_id").agg(F.array_sort(F.collect_list(x)).alias("h")), "serve-history")
+
+
+def support_ratio(named: DataFrame, index: Index) -> DataFrame:
+    """(prompt_id, ratio): the share of neighbouring known tokens of the history that the graph has as an edge; prompts without two go."""
+    known = F.filter("h.token_id", lambda t: t.isNotNull())
+    pairs = named.select("prompt_id", known.alias("k")).where(F.size("k") >= 2)
+    pairs = pairs.select("prompt_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("k") - 1), lambda i: F.struct(F.element_at("k", i).alias("left"), F.element_at("k", i + 1).alias("right")))).alias("s")).select("prompt_id", "s.*")
+    return pairs.join(index["support"].withColumn("hit", F.lit(1.0)), ["left", "right"], "left").groupBy("prompt_id").agg((F.sum(F.coalesce("hit", F.lit(0.0))) / F.count("*")).alias("ratio"))
+
+
+def history(parsed: DataFrame, index: Index) -> DataFrame:
+    """``parsed`` with hist_ids (null: unknown), the history's Kneser-Ney score and noise, its last token and support ratio."""
+    rows = named_history(parsed, index)
     step = lambda i: F.struct(i.alias("i"), F.element_at("h", i)["kid"].alias("left"), F.element_at("h", i)["kc"].alias("kc"), F.element_at("h", i)["kf"].alias("kf"), F.element_at("h", i + 1)["kid"].alias("right"), F.element_at("h", i + 1)["kcont"].alias("kcont"))
     n = F.size("h")
     steps = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), step))
     flat = rows.select("prompt_id", F.explode(steps).alias("s")).select("prompt_id", "s.*").join(index["bigrams"].select("left", "right", F.col("c").alias("pair")), ["left", "right"], "left")
     kn = flat.groupBy("prompt_id").agg(F.sum(log_p(bigram_p(F.col("pair"), F.col("kc"), F.col("kf"), F.col("kcont"), index.totals))).alias("kn"))
-    known = F.filter("h.token_id", lambda t: t.isNotNull())
-    pairs = rows.select("prompt_id", known.alias("k")).where(F.size("k") >= 2)
-    pairs = pairs.select("prompt_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("k") - 1), lambda i: F.struct(F.element_at("k", i).alias("left"), F.element_at("k", i + 1).alias("right")))).alias("s")).select("prompt_id", "s.*")
-    ratio = pairs.join(index["support"].withColumn("hit", F.lit(1.0)), ["left", "right"], "left").groupBy("prompt_id").agg((F.sum(F.coalesce("hit", F.lit(0.0))) / F.count("*")).alias("ratio"))
     first = log_p(unigram_p(F.col("h")[0]["kc"], index.totals))
     end = F.element_at("h", -1)
-    out = parsed.join(rows, "prompt_id", "left").join(kn, "prompt_id", "left").join(ratio, "prompt_id", "left")
+    out = parsed.join(rows, "prompt_id", "left").join(kn, "prompt_id", "left").join(support_ratio(rows, index), "prompt_id", "left")
     return out.select(
         "prompt_id", "text", "hist", "frag", F.coalesce("h.token_id", F.array().cast("array<int>")).alias("hist_ids"),
         F.when(F.col("h").isNull(), 0.0).otherwise(first + F.coalesce("kn", F.lit(0.0))).alias("hist_kn"),
@@ -69,11 +80,19 @@ def backoff_keys(ids: Column, width: int, skip: bool) -> Column:
 
 
 def with_context(states: DataFrame, ids: Column, by: list[str], index: Index, skip: bool) -> DataFrame:
-    """``states`` (unique by ``by``) with the edges of the first key that the graph has; states without one go."""
-    keys = states.select(*by, F.posexplode(backoff_keys(ids, index.config.max_context_tokens, skip)).alias("_try", "key"))
-    found = keys.join(index["context"].select("key"), "key")  # reads the keys alone
+    """``states`` (unique by ``by``, a written table) with the edges of the first key that the graph has; states without one go.
+
+    While the keys asked for are few by their count, they are broadcast to the graph's scan, which is then neither shuffled nor sorted.
+    """
+    width = index.config.max_context_tokens
+    keys = states.select(*by, F.posexplode(backoff_keys(ids, width, skip)).alias("_try", "key"))
+    graph = index["context"]
+    n = states.count() * width * 2
+    if n <= KEYS:
+        graph = written(graph.join(F.broadcast(keys.select("key").distinct()), "key", "left_semi"), "serve-context")
+    found = keys.join(graph.select("key"), "key")  # reads the keys alone
     best = found.groupBy(*by).agg(F.min_by("key", "_try").alias("key"))
-    return states.join(best, by).join(index["context"], "key")
+    return states.join(best, by).join(graph, "key")
 
 
 def _gate(prompts: DataFrame, cfg: SuggestConfig) -> DataFrame:
@@ -221,7 +240,8 @@ def inspect(prompts: DataFrame, index: Index, cfg: SuggestConfig | None = None,
     k = max(1, int(cfg.default_top_k if topk is None else topk))
     words = max(1, int(cfg.max_suggestion_words if max_words is None else max_words))
     bias = min(1.0, max(0.0, float(cfg.default_length_bias if length_bias is None else length_bias)))
-    own = written(_gate(history(parse(prompts, index.config.normalization), index), cfg), "serve-prompts")
+    own = written(parse(prompts, index.config.normalization), "serve-parsed")
+    own = written(_gate(history(own, index), cfg), "serve-prompts")
     rows = score(beam(own, index, cfg, words), own, cfg, words, bias)
     if cfg.collapse_prefix_ladders:
         rows = collapse(rows, cfg.collapse_prefix_ladder_strategy, k)

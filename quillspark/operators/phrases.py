@@ -48,6 +48,11 @@ def occurrences(segments: DataFrame, chosen: DataFrame, rows: int, cfg: BuildCon
     return flat.join(small(chosen.select("gram"), rows), "gram", "left_semi")
 
 
+def segment_freq(places: DataFrame) -> DataFrame:
+    """(gram, segments): in how many segments each n-gram stands."""
+    return places.select("gram", "doc_ord", "seg_no").distinct().groupBy("gram").agg(F.count("*").alias("segments"))
+
+
 def dominated(places: DataFrame, chosen: DataFrame, ratio: float) -> DataFrame:
     """(gram): those of which one left or right neighbour takes more than ``ratio``."""
     sides = [places.where(F.col(s).isNotNull()).select("gram", F.lit(s).alias("side"), F.col(s).alias("id")) for s in ("left", "right")]
@@ -61,7 +66,7 @@ def mine_phrases(segments: DataFrame, counts: DataFrame, vocab: DataFrame, n_voc
     places = written(occurrences(segments, chosen, chosen.count(), cfg), "phrase-places")
     kept = chosen
     if cfg.phrase_min_doc_freq > 1:
-        wide = places.select("gram", "doc_ord", "seg_no").distinct().groupBy("gram").count().where(F.col("count") >= cfg.phrase_min_doc_freq)
+        wide = segment_freq(places).where(F.col("segments") >= cfg.phrase_min_doc_freq)
         kept = kept.join(wide.select("gram"), "gram", "left_semi")
     if cfg.phrase_max_dominant_extension_ratio < 1:
         kept = kept.join(dominated(places, chosen, float(cfg.phrase_max_dominant_extension_ratio)), "gram", "left_anti")

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..config import BuildConfig
 from ..functions.text import noise
-from ..session import dense_ids, small
+from ..session import dense_ids
 
-#: Vocabulary entries that travel to the workers at most; a larger one is joined by a shuffle.
-VOCAB_ROWS = 2_000_000
+#: Vocabulary that travels to the workers at most, in entries and in bytes of tokens; a larger one is joined by a shuffle.
+VOCAB_ROWS, VOCAB_BYTES = 2_000_000, 64 << 20
 
 
 def token_counts(segments: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def vocabulary(counts: DataFrame) -> DataFrame:
 
 def encode_segments(segments: DataFrame, vocab: DataFrame, n_vocab: int, limit: int = VOCAB_ROWS) -> DataFrame:
     """(doc_ord, seg_no, ids): tokens as ids; tokens without one go, and so do segments left empty."""
-    if n_vocab <= limit:
+    if n_vocab <= limit and (vocab.agg(F.sum(F.octet_length("token").cast("long"))).first()[0] or 0) <= VOCAB_BYTES:
         known = pa.array(vocab.select("token", "token_id").orderBy("token_id").toArrow().column("token").to_pylist(), pa.string())
 
         def run(batches):
@@ -86,9 +86,3 @@ def vocab_flags(vocab: DataFrame, phrases: DataFrame) -> DataFrame:
     within = F.coalesce(F.sum("octets").over(Window.partitionBy("block").orderBy("token_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     flags = F.when(F.col("unigram_count") <= 1, 2).otherwise(0) + F.coalesce("head", F.lit(0))
     return sized.withColumn("within", within).join(F.broadcast(before), "block").select("token_id", flags.cast("int").alias("flags"), "octets", (F.col("before") + F.col("within")).alias("byte_offset"))
-
-
-def replace_ids(segments: DataFrame, vocab: DataFrame, n_vocab: int) -> DataFrame:
-    """(doc_ord, seg_no, tok): ids as tokens again."""
-    flat = segments.select("doc_ord", "seg_no", F.posexplode("ids").alias("pos", "token_id")).join(small(vocab.select("token_id", "token"), n_vocab), "token_id")
-    return flat.groupBy("doc_ord", "seg_no").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x")).select("doc_ord", "seg_no", F.col("x.token").alias("tok"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import NormalizationConfig
-from ..functions.text import lines, partial_token, tokens
+from ..functions.text import lines, partial_token
 
 WORD = r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?"
 
@@ -69,5 +68,7 @@ def corpus_slice(docs: DataFrame, target_words: int) -> DataFrame:
     return out.where((F.col("before") < target_words) & ((F.col("before") > 0) | (F.col("words") > 0))).select("doc_ord", "line_no", "line", "words")
 
 
-def parsed_tokens(prompts: DataFrame, cfg: NormalizationConfig) -> DataFrame:
-    return prompts.select("prompt_id", tokens(F.col("text"), cfg).alias("tok"))
+def summary(rows: DataFrame, measure: str, by: str) -> DataFrame:
+    """(``by``, mean, median, least, p95) of a measure; percentiles are exact and interpolate linearly."""
+    m = F.col(measure)
+    return rows.groupBy(by).agg(F.round(F.avg(m), 6).alias("mean"), F.round(F.percentile(m, F.lit(0.5)), 4).alias("median"), F.min(m).alias("least"), F.round(F.percentile(m, F.lit(0.95)), 4).alias("p95"))

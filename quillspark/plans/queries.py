@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ..config import BuildConfig, NormalizationConfig, SuggestConfig
 from ..functions import text as T
-from ..operators import beam, context, fuzzy, ngrams, phrases as mining, rerank, vocab as voc
-from ..session import spread
+from ..operators import beam, fuzzy, ngrams, phrases as mining, rerank, vocab as voc
+from ..operators.scorer import KneserNey
+from ..session import spread, written
 from ..sources.documents import from_frame
 from . import prompts as pr
+from .engine import Autocomplete
 from .index import Index, compile_index
 from .oracle import RERANK, TRACE, WORD, backoff, partial, serving, statement, steps
 
@@ -111,6 +113,24 @@ def content_dedupe(spark, sf_dir):
     return rows.join(first, "h").where("doc_id > first_id").select("doc_id", "first_id", "text_preview")
 
 
+@query("whitespace_tokens", r"""SELECT doc_id, md5(array_to_string(t, ' ')) AS tokens_md5, len(t)::INT AS n_tokens FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS t FROM documents)""")
+def whitespace_tokens(spark, sf_dir):
+    t = T.tokens(F.col("text"), NormalizationConfig(strip_punctuation=False))
+    return documents(spark, sf_dir).select("doc_id", F.md5(F.array_join(t, " ")).alias("tokens_md5"), F.size(t).alias("n_tokens"))
+
+
+@query("punctuation_fold", "SELECT doc_id, folded FROM (VALUES " + ", ".join(f"({i}::BIGINT, 'x' || '{b if b != chr(39) else chr(39) * 2}' || 'y')" for i, b in enumerate(T.FOLD_TO)) + ") t(doc_id, folded)")
+def punctuation_fold(spark, sf_dir):
+    """Every sign that is folded, between two letters."""
+    rows = spark.createDataFrame([(i, f"x{c}y") for i, c in enumerate(T.FOLD_FROM)], "doc_id long, text string")
+    return rows.select("doc_id", T.fold_punctuation(F.col("text")).alias("folded"))
+
+
+@query("redundancy_form", statement(r"SELECT token, regexp_replace(lower(token), '[^\p{L}\p{N}]', '', 'g') AS form FROM vocab"))
+def redundancy_form(spark, sf_dir):
+    return index_of(spark, sf_dir)["vocab"].select("token", T.redundancy_form(F.col("token")).alias("form"))
+
+
 # Counts
 
 
@@ -121,11 +141,12 @@ def unigram_counts(spark, sf_dir):
 
 @query("corpus_stats", statement("SELECT (SELECT count(*) FROM documents) AS documents, n_seg AS segments, n_tok AS positions, (SELECT count(*) FROM cnt) AS types FROM tot"))
 def corpus_stats(spark, sf_dir):
-    cut = _cut(spark, sf_dir).select(F.explode("tok").alias("token"), F.struct("doc_ord", "seg_no").alias("s"))
-    one = cut.groupBy("token").agg(F.count("*").alias("c"))
-    seg = _cut(spark, sf_dir).agg(F.count("*").alias("segments"))
-    docs = documents(spark, sf_dir).agg(F.count("*").alias("documents"))
-    return docs.crossJoin(seg).crossJoin(one.agg(F.sum("c").alias("positions"), F.count("*").alias("types")))
+    # One pass over the texts: counts of each token, and of segments under a token that no text has.
+    token = F.explode(F.concat("tok", F.array(F.lit("")))).alias("token")
+    one = _cut(spark, sf_dir).select(token).groupBy("token").agg(F.count("*").alias("c"))
+    word = F.col("token") != ""
+    sums = one.agg(F.coalesce(F.sum(F.when(~word, F.col("c"))), F.lit(0)).alias("segments"), F.coalesce(F.sum(F.when(word, F.col("c"))), F.lit(0)).alias("positions"), F.count_if(word).alias("types"))
+    return sums.withColumn("documents", F.lit(documents(spark, sf_dir).count()))
 
 
 @query("vocab_prune", _sum("kept", "token, unigram_count, segment_freq"))
@@ -177,7 +198,7 @@ def kn_tables(spark, sf_dir):
 def kn_score(spark, sf_dir):
     ix = index_of(spark, sf_dir)
     p = pr.continuation_prompts(documents(spark, sf_dir)).withColumn("prompt_id", -1 - F.col("prompt_id"))
-    return beam.history(beam.parse(p, NORMAL), ix).where(F.size("hist") > 0).select("prompt_id", F.round("hist_kn", 6).alias("score"))
+    return beam.history(written(beam.parse(p, NORMAL), "prompts"), ix).where(F.size("hist") > 0).select("prompt_id", F.round("hist_kn", 6).alias("score"))
 
 
 @query("scorer_merge", r"""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '(?i)[0-9a-z]+(?:[._:/\\@+\-''][0-9a-z]+)*')) AS token FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) SELECT token, count(*) AS c FROM t GROUP BY token""")
@@ -188,9 +209,41 @@ def scorer_merge(spark, sf_dir):
     return rerank.merge_counts(one("documents"), one("conversations"), ["token"])
 
 
+@query("scorer_merge_pairs", r"""WITH t AS (SELECT regexp_extract_all(lower(text), '(?i)[0-9a-z]+(?:[._:/\\@+\-''][0-9a-z]+)*') AS a FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)),
+    p AS (SELECT unnest(a[:-2]) AS l, unnest(a[2:]) AS r FROM t WHERE len(a) >= 2) SELECT l AS "left", r AS "right", count(*) AS c FROM p GROUP BY ALL""")
+def scorer_merge_pairs(spark, sf_dir):
+    """Pairs of the scorers of two corpora, each text a line, merged."""
+    one = lambda table: KneserNey.from_lines(spark.read.parquet(f"{sf_dir}/{table}.parquet").where("text IS NOT NULL").select(T.tokens(F.col("text"), NORMAL).alias("tok")))
+    return one("documents").merge(one("conversations")).bigrams
+
+
+@query("score_text", statement(r"""SELECT doc_id, round(coalesce(sum(ln(CASE WHEN i = 1 THEN CASE WHEN uc > 0 THEN uc / n ELSE 1 / (n + v) END WHEN puc > 0 THEN greatest(coalesce(bi.c, 0) - 0.75, 0) / puc + 0.75 * pfo / puc * cont ELSE cont END + 1e-12)), 0.0), 4) AS score
+    FROM documents LEFT JOIN (SELECT doc_id, i, a.token_id, uc, CASE WHEN co > 0 THEN co / b ELSE 1 / (b + v) END AS cont, lag(a.token_id) OVER o AS pid, lag(uc) OVER o AS puc, lag(fo) OVER o AS pfo, tt.* FROM (
+        SELECT doc_id, i, token_id, unigram_count AS uc, followers AS fo, continuations AS co FROM (SELECT doc_id, unnest(t) AS token, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS t FROM documents)) LEFT JOIN stats USING (token)) a, tt
+        WINDOW o AS (PARTITION BY doc_id ORDER BY i)) e USING (doc_id) LEFT JOIN bi ON l = pid AND r = e.token_id GROUP BY doc_id"""))
+def score_text(spark, sf_dir):
+    """ln P of every document's whole text by the index's scorer."""
+    engine = Autocomplete(index_of(spark, sf_dir))
+    return engine.score(documents(spark, sf_dir).select(F.col("doc_id").alias("prompt_id"), "text")).select(F.col("prompt_id").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
 # Phrases
 
 
+@query("ngram_segment_freq", statement("SELECT array_to_string(gram, ' ') AS gram, count(DISTINCT (doc_ord, seg_no)) AS segments FROM pl GROUP BY gram"))
+def ngram_segment_freq(spark, sf_dir):
+    """How many segments hold each candidate phrase."""
+    ix = index_of(spark, sf_dir)
+    chosen = written(mining.candidates(ix.parts["ngrams"], ix["vocab"], ix.rows["vocab"], ix.stats.token_pos_post_prune, ix.config), "phrase-candidates")
+    places = mining.occurrences(ix.parts["ids"], chosen, chosen.count(), ix.config)
+    return mining.segment_freq(places).select(_text("gram").alias("gram"), "segments")
+
+
+@query("phrase_lengths", statement("SELECT phrase_id, length(array_to_string(list(token ORDER BY k), ' '))::INT AS chars FROM (SELECT phrase_id, unnest(token_ids) AS token_id, unnest(range(n)) AS k FROM ph) JOIN vocab USING (token_id) GROUP BY phrase_id"))
+def phrase_lengths(spark, sf_dir):
+    return index_of(spark, sf_dir)["phrases"].select("phrase_id", F.col("display_length_chars").cast("int").alias("chars"))
+
+
 @query("phrase_pmi", statement("SELECT array_to_string(gram, ' ') AS gram, c, round(pmi, 6) AS pmi, weak FROM pm"))
 def phrase_pmi(spark, sf_dir):
     ix = index_of(spark, sf_dir)
@@ -204,7 +257,8 @@ def ngram_extensions(spark, sf_dir):
     ix = index_of(spark, sf_dir)
     cfg = ix.config
     chosen = mining.candidates(ix.parts["ngrams"], ix["vocab"], ix.rows["vocab"], ix.stats.token_pos_post_prune, cfg)
-    places = mining.occurrences(ix.parts["ids"], chosen, 1 << 40, cfg)
+    chosen = written(chosen, "phrase-candidates")
+    places = mining.occurrences(ix.parts["ids"], chosen, chosen.count(), cfg)
     sides = [places.where(F.col(s).isNotNull()).select("gram", F.lit(s).alias("side"), F.col(s).alias("id")) for s in ("left", "right")]
     most = sides[0].unionByName(sides[1]).groupBy("gram", "side", "id").count().groupBy("gram").agg(F.max("count").alias("most"))
     return most.select(_text("gram").alias("gram"), "most")
@@ -264,21 +318,31 @@ def context_phrase_edges(spark, sf_dir):
     return index_of(spark, sf_dir).parts["phrase_edges"].select(_text("key").alias("key"), "rank", "target_id", "c", "score")
 
 
-def _prompts(spark, sf_dir) -> DataFrame:
+def _parsed(spark, sf_dir) -> DataFrame:
+    """Both kinds of prompts of every document, parsed once."""
     d = documents(spark, sf_dir)
-    return pr.document_prompts(d).unionByName(pr.continuation_prompts(d).withColumn("prompt_id", -1 - F.col("prompt_id")))
+    p = pr.document_prompts(d).unionByName(pr.continuation_prompts(d).withColumn("prompt_id", -1 - F.col("prompt_id")))
+    return written(beam.parse(p, NORMAL), "prompts")
 
 
 @query("backoff_context", statement("SELECT prompt_id, array_to_string(key, ' ') AS key FROM bk", backoff("hi", "bk", "prompt_id", "ids")))
 def backoff_context(spark, sf_dir):
     ix = index_of(spark, sf_dir)
-    h = beam.history(beam.parse(_prompts(spark, sf_dir), NORMAL), ix)
-    return beam.with_context(h.select("prompt_id", "hist_ids"), F.col("hist_ids"), ["prompt_id"], ix, True).select("prompt_id", _text("key").alias("key"))
+    h = beam.named_history(_parsed(spark, sf_dir), ix).select("prompt_id", F.col("h.token_id").alias("hist_ids"))
+    return beam.with_context(h, F.col("hist_ids"), ["prompt_id"], ix, True).select("prompt_id", _text("key").alias("key"))
 
 
 @query("context_support", statement("SELECT prompt_id, round(coalesce(ratio, 1.0), 6) AS ratio FROM h LEFT JOIN hr USING (prompt_id)"))
 def context_support(spark, sf_dir):
-    return beam.history(beam.parse(_prompts(spark, sf_dir), NORMAL), index_of(spark, sf_dir)).select("prompt_id", F.round("ratio", 6).alias("ratio"))
+    ix = index_of(spark, sf_dir)
+    p = _parsed(spark, sf_dir)
+    return p.join(beam.support_ratio(beam.named_history(p, ix), ix), "prompt_id", "left").select("prompt_id", F.round(F.coalesce("ratio", F.lit(1.0)), 6).alias("ratio"))
+
+
+@query("context_gate", statement("SELECT prompt_id FROM h LEFT JOIN hr USING (prompt_id) WHERE coalesce(ratio, 1.0) >= 0.75"))
+def context_gate(spark, sf_dir):
+    """Prompts that pass a gate of 0.75 on the support of their context."""
+    return context_support(spark, sf_dir).where("ratio >= 0.75").select("prompt_id")
 
 
 # Serving
@@ -345,6 +409,21 @@ def prompt_generation(spark, sf_dir):
     return pr.stride_prompts(documents(spark, sf_dir)).select("ord", "query")
 
 
+@query("corpus_slice", statement(f"SELECT doc_ord, line_no, md5(line) AS line_md5, n AS words FROM cs WHERE before < 10000 AND (before > 0 OR n > 0)", {
+    "ln": r"SELECT doc_id AS doc_ord, unnest(l) AS line, unnest(range(len(l)))::INT AS line_no FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)",
+    "lc": f"SELECT *, len(regexp_extract_all(line, '{WORD}'))::BIGINT AS n FROM ln",
+    "cs": "SELECT *, sum(n) OVER (ORDER BY doc_ord, line_no) - n AS before FROM lc"}))
+def corpus_slice(spark, sf_dir):
+    """The first lines of the corpus, up to 10,000 words; the cut is the operator."""
+    return pr.corpus_slice(documents(spark, sf_dir), 10_000).select("doc_ord", "line_no", F.md5("line").alias("line_md5"), "words")
+
+
+@query("length_stats", "SELECT source, round(avg(n_chars), 6) AS mean, round(median(n_chars)::DOUBLE, 4) AS median, min(n_chars) AS least, round(quantile_cont(n_chars, 0.95)::DOUBLE, 4) AS p95 FROM documents GROUP BY source")
+def length_stats(spark, sf_dir):
+    """Mean, median, least and 95th percentile (linear) of a measure, as a benchmark reports them."""
+    return pr.summary(documents(spark, sf_dir), "n_chars", "source")
+
+
 @query("document_prompts", statement("SELECT prompt_id, text FROM pr"))
 def document_prompts(spark, sf_dir):
     return pr.document_prompts(documents(spark, sf_dir))
