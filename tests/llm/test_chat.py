@@ -61,3 +61,13 @@ def test_rows(spark):
     assert "z" * 300_000 in out[5]["rendered"]
     assert all(legal(r["roles"]) for r in out.values())
     assert chat.format_chats(df.where("false")).count() == 0
+
+
+def test_long_conversations():
+    """Thousands of turns: a legal result that keeps all turns in order, at the sum of the costs of its parts where these are legal by themselves."""
+    roles = ["user", "assistant"] * 4000
+    assert chat.repair(roles) == (0, [(r, [k]) for k, r in enumerate(roles)])
+    odd = (["user", "user", "assistant", None, "user", "assistant"] * 1000)[:6000]
+    cost, turns = chat.repair(odd)
+    assert legal([r for r, _ in turns]) and [k for _, own in turns for k in own] == list(range(6000))
+    assert 0 < cost <= 1000 * chat.repair(odd[:6])[0] + 6

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import packing, quality, registry, toxicity
+from quillspark.llm import neardup, packing, quality, registry, toxicity
 
 from test_decontam import LEAST, TOL, plain_distance, plain_words
 from test_neardup import brute
@@ -38,7 +38,7 @@ def test_pipeline_against_plain_python(spark, folder):
     toxic = {r["doc_id"] for r in toxicity.toxicity(docs, toxicity.fit_toxicity(spark, docs, labels)).where("toxic").collect()}
     poor = {r["doc_id"] for r in quality.quality(docs, quality.fit_ordinal(docs, labels, F.expr(quality.GRADE))).where("NOT keep").collect()}
     kept = [k for k in text if k not in toxic and k not in poor]
-    gone = {a for a, _ in brute([(k, text[k]) for k in kept], 92)}
+    gone = {a for a, _ in brute([(k, text[k]) for k in kept], neardup.BITS)}
     items = [plain_words(r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     kept = [k for k in kept if k not in gone]
     kept = {k for k in kept if not leaks(plain_words(text[k]), items)}
@@ -70,3 +70,33 @@ def test_sql(spark, folder):
         cols = sorted(a.columns)
         assert cols == sorted(b.columns)
         assert sorted(map(str, a[cols].itertuples(index=False, name=None))) == sorted(map(str, b[cols].itertuples(index=False, name=None))), name
+
+
+def test_odd_and_empty_tables(spark, folder, tmp_path):
+    """Nulls in every column, repeated rows, one doc_id with two texts, empty and long texts, more columns; then each table without rows."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    good = [r["text"] for r in docs.where("n_chars BETWEEN 400 AND 2000 AND lang = 'en'").orderBy("doc_id").limit(12).collect()]
+    rows = [(10**6 + k, t, "en", "s", len(t)) for k, t in enumerate(good)]
+    rows += [(None, good[0], None, None, None), (None, None, None, None, None), (10**6 + 50, None, "en", "s", 0), (10**6 + 51, "", "en", "s", 0), rows[1], rows[1], (10**6 + 1, good[2] + " another text", "en", "s", 5), (10**6 + 60, " ".join(good) * 40, "en", "s", 1)]
+    odd = spark.createDataFrame(rows, docs.select("doc_id", "text", "lang", "source", "n_chars").schema).withColumn("node", F.lit("x")).withColumn("id", F.lit(1)).withColumn("toxic", F.lit(None).cast("int"))
+    every = docs.withColumn("node", F.lit("y")).withColumn("id", F.col("doc_id").cast("int")).withColumn("toxic", F.lit(0)).unionByName(odd.select(*docs.columns, "node", "id", "toxic"))
+    names = ("documents", "labels", "benchmark")
+
+    def write(name, **other):
+        d = tmp_path / name
+        for t in names:
+            other.get(t, spark.read.parquet(f"{folder}/{t}.parquet")).write.parquet(str(d / f"{t}.parquet"))
+        return str(d)
+
+    bins = corpus_pipeline.run(spark, write("odd", documents=every)).collect()
+    kept = Counter(i for r in bins for i in dict.fromkeys(r["doc_ids"]))
+    assert None not in kept and 10**6 + 50 not in kept and 10**6 + 51 not in kept
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, folder)
+        assert out.columns == odd.columns and out.count() > 0, name
+        if name != "quality classifier":  # which judges a row without a text like an empty one
+            assert out.where("text IS NULL").count() == 2, name
+    for t in names:
+        empty = spark.read.parquet(f"{folder}/{t}.parquet").where("false")
+        n = corpus_pipeline.run(spark, write(f"no-{t}", **{t: empty})).count()
+        assert (n == 0) == (t == "documents"), t
