@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import NormalizationConfig, SuggestConfig
 from ..functions.text import WS, noise, redundancy_form, tokens
 from ..plans.index import Index
-from ..session import small, written
+from ..session import kept, scratch, small, written
 from .fuzzy import match_prefixes
 from .ngrams import bigram_p, continuation_p, log_p, unigram_p
 
@@ -240,6 +240,11 @@ def inspect(prompts: DataFrame, index: Index, cfg: SuggestConfig | None = None,
     k = max(1, int(cfg.default_top_k if topk is None else topk))
     words = max(1, int(cfg.max_suggestion_words if max_words is None else max_words))
     bias = min(1.0, max(0.0, float(cfg.default_length_bias if length_bias is None else length_bias)))
+    with scratch(prompts.sparkSession):
+        return kept(_ranked(prompts, index, cfg, k, words, bias), "serve-result")
+
+
+def _ranked(prompts: DataFrame, index: Index, cfg: SuggestConfig, k: int, words: int, bias: float) -> DataFrame:
     own = written(parse(prompts, index.config.normalization), "serve-parsed")
     own = written(_gate(history(own, index), cfg), "serve-prompts")
     rows = score(beam(own, index, cfg, words), own, cfg, words, bias)

@@ -16,14 +16,14 @@ from ..session import spread, written
 from ..sources.documents import from_frame
 from . import prompts as pr
 from .engine import Autocomplete
-from .index import Index, compile_index
+from .index import Index, _fs, compile_index
 from .oracle import RERANK, TRACE, WORD, backoff, partial, serving, statement, steps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 NORMAL = NormalizationConfig()
-_KEPT: OrderedDict[tuple[str, str], Index] = OrderedDict()
+_KEPT: OrderedDict[tuple, Index] = OrderedDict()
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -46,7 +46,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_of(spark: SparkSession, sf_dir: str) -> Index:
     """The index of the documents; the last few are kept, as an engine keeps what it has compiled."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    # Changed files are another corpus.
+    files = []
+    for uri in documents(spark, sf_dir).inputFiles():
+        p, fs, _ = _fs(spark, uri)
+        status = fs.getFileStatus(p)
+        files.append((uri, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, tuple(sorted(files)))
     if key not in _KEPT:
         _KEPT[key] = compile_index(corpus(spark, sf_dir))
         while len(_KEPT) > 8:
@@ -287,16 +293,21 @@ def prefix_blocks(spark, sf_dir):
     return index_of(spark, sf_dir).prefix_blocks().select("block_id", "prefix")
 
 
+def _typed(spark, sf_dir) -> DataFrame:
+    """A prompt of every document, parsed. Written, because the optimizer would run the normalisation again for each use of a column."""
+    return written(beam.parse(pr.document_prompts(documents(spark, sf_dir)), NORMAL), "prompts")
+
+
 @query("prefix_lookup", statement("SELECT prompt_id, frag, rank, token, score FROM hp JOIN post ON prefix = frag"))
 def prefix_lookup(spark, sf_dir):
-    p = beam.parse(pr.document_prompts(documents(spark, sf_dir)), NORMAL)
+    p = _typed(spark, sf_dir)
     return p.join(index_of(spark, sf_dir)["postings"].withColumnRenamed("prefix", "frag"), "frag").select("prompt_id", "frag", "rank", "token", "score")
 
 
 def _typos(spark, sf_dir) -> DataFrame:
     """Fragments with two neighbouring letters swapped, as typing errors."""
     f = F.col("frag")
-    p = beam.parse(pr.document_prompts(documents(spark, sf_dir)), NORMAL).where(F.length("frag") >= 3)
+    p = _typed(spark, sf_dir).where(F.length("frag") >= 3)
     return p.select(F.concat(F.substring(f, 1, 1), F.substring(f, 3, 1), F.substring(f, 2, 1), F.substring(f, F.lit(4), F.length(f))).alias("fragment")).distinct()
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,18 +26,52 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        path = "file://" + (made := tempfile.mkdtemp(prefix="quillspark-"))
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, with its lineage cut."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (own := _SCRATCH.get()) is not None:
+        own.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within go at its end; what is returned must be ``kept``."""
+    own: list[str] = []
+    token = _SCRATCH.set(own)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in own:
+            drop_path(spark, path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written so that it outlives the scratch tables it was made of."""
+    token = _SCRATCH.set(None)
+    try:
+        return written(df, name)
+    finally:
+        _SCRATCH.reset(token)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are few enough."""
     return F.broadcast(df) if rows <= limit else df
