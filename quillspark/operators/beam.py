@@ -31,7 +31,7 @@ def parse(prompts: DataFrame, cfg: NormalizationConfig) -> DataFrame:
 
 def named_history(parsed: DataFrame, index: Index) -> DataFrame:
     """(prompt_id, h): the finished tokens of each prompt that has some, in order, with their ids and the scorer's facts; written once."""
-    vocab, n = index["vocab"], index.rows["vocab"]
+    vocab, n = index["vocab"], index.rows["vocab_join"]
     words = small(vocab.select("token", "token_id"), n)
     scorer = small(vocab.select(F.col("token").alias("low"), F.col("token_id").alias("kid"), F.col("unigram_count").alias("kc"), F.col("followers").alias("kf"), F.col("continuations").alias("kcont")), n)
     flat = parsed.select("prompt_id", F.posexplode("hist").alias("pos", "token")).withColumn("low", F.lower("token"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import BuildConfig, build_config, to_dict
 from ..functions.text import segments as cut_segments
 from ..operators import context, ngrams, phrases as mining, prefix, vocab as voc
-from ..session import spread, written
+from ..session import bounded, spread, written
 
 FORMAT = 1
 TABLES = ("vocab", "bigrams", "phrases", "postings", "context", "support")
@@ -85,6 +85,8 @@ def compile_index(docs: DataFrame, config: BuildConfig | None = None) -> Index:
     n_vocab = vocab.count()
     if not n_vocab:
         raise ValueError("pruning leaves no tokens")
+    # What decides between a broadcast and a shuffle of the vocabulary: its entries, and the bytes of its tokens.
+    v = bounded(n_vocab, vocab.agg(F.sum(F.octet_length("token").cast("long"))).first()[0] or 0)
     ids = written(voc.encode_segments(seg, vocab, n_vocab), "encoded")
     seg_post, tok_post = (n_seg, n_tok) if rule is None else voc.corpus_totals(ids, "ids")
     order = ngrams.Order(ids)
@@ -93,20 +95,21 @@ def compile_index(docs: DataFrame, config: BuildConfig | None = None) -> Index:
     pairs = written(ngrams.bigrams(grams), "bigrams")
     stats, totals = ngrams.token_stats(vocab, pairs)
     stats = written(with_scorer_ids(stats, cfg.normalization.lowercase), "token-stats")
-    lexicon, places = mining.mine_phrases(ids, grams, vocab, n_vocab, tok_post, cfg)
+    lexicon, places = mining.mine_phrases(ids, grams, vocab, v, tok_post, cfg)
     lexicon = lexicon.join(mining.branching(grams, lexicon), "phrase_id", "left").withColumn("branching", F.coalesce("branching", F.lit(0.0)))
     chars = F.length(F.array_join("words", " "))
     flat = lexicon.select("phrase_id", F.posexplode("token_ids").alias("pos", "token_id")).join(vocab.select("token_id", "token"), "token_id")
     words = flat.groupBy("phrase_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x")).select("phrase_id", F.col("x.token").alias("words"))
     lexicon = written(lexicon.join(words, "phrase_id").withColumn("display_length_chars", chars), "phrases")
-    n_phrases = lexicon.count()
+    n_phrases, chars = lexicon.agg(F.count("*"), F.coalesce(F.sum("display_length_chars"), F.lit(0))).first()
+    n_lexicon = bounded(n_phrases, 4 * chars)
     postings = written(prefix.prefix_postings(stats, cfg), "postings")
-    next_tokens = written(context.token_edges(grams, stats, n_vocab, cfg), "token-edges")
-    next_phrases = written(context.phrase_edges(places, lexicon, n_phrases, cfg), "phrase-edges")
-    graph = written(context.edges_for_serving(next_tokens, next_phrases, lexicon, stats, pairs, n_vocab, n_phrases, totals), "context")
+    next_tokens = written(context.token_edges(grams, stats, v, cfg), "token-edges")
+    next_phrases = written(context.phrase_edges(places, lexicon, n_lexicon, cfg), "phrase-edges")
+    graph = written(context.edges_for_serving(next_tokens, next_phrases, lexicon, stats, pairs, v, n_lexicon, totals), "context")
     support = written(next_tokens.where(F.size("key") == 1).select(F.col("key")[0].alias("left"), F.col("target_id").alias("right")), "support")
     tables = {"vocab": stats, "bigrams": pairs, "phrases": lexicon, "postings": postings, "context": graph, "support": support}
-    rows = {"vocab": n_vocab, "phrases": n_phrases} | {n: tables[n].count() for n in ("bigrams", "postings", "context", "support")}
+    rows = {"vocab": n_vocab, "phrases": n_phrases, "vocab_join": v} | {n: tables[n].count() for n in ("bigrams", "postings", "context", "support")}
     built = BuildStats(n_docs, n_seg, n_tok, seg_post, tok_post, n_vocab, types - n_vocab, n_phrases)
     return Index(cfg, tables, totals, rows, built, {"segments": seg, "ids": ids, "ngrams": grams, "token_edges": next_tokens, "phrase_edges": next_phrases, "counts": counts})
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines, partial_token
+from ..session import dense_ids, small
 
 WORD = r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?"
 
@@ -42,8 +43,6 @@ def stride_prompts(docs: DataFrame, limit: int = 128) -> DataFrame:
 
     Lines of four words at least count; each gives a prompt of one, two and three finished words.
     """
-    from ..session import dense_ids
-
     long = _numbered(docs).withColumn("w", words_of(F.col("line"))).where(F.size("w") >= 4).select("doc_ord", "line_no", F.slice("w", 1, 4).alias("w"))
     rows = dense_ids(long, [F.col("doc_ord").asc(), F.col("line_no").asc()], "n")
     stride = max(1, rows.count() // max(1, limit * 3))
@@ -62,7 +61,8 @@ def corpus_slice(docs: DataFrame, target_words: int) -> DataFrame:
     per = rows.groupBy("doc_ord").agg(F.sum("words").alias("t")).withColumn("block", (F.col("doc_ord") / 4096).cast("long"))
     blocks = per.groupBy("block").agg(F.sum("t").alias("bt"))
     before = blocks.select("block", F.coalesce(F.sum("bt").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b0"))
-    docs0 = per.withColumn("d0", F.coalesce(F.sum("t").over(Window.partitionBy("block").orderBy("doc_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(F.broadcast(before), "block").select("doc_ord", (F.col("b0") + F.col("d0")).alias("base")).where(F.col("base") < target_words)
+    before = small(before, blocks.count())
+    docs0 = per.withColumn("d0", F.coalesce(F.sum("t").over(Window.partitionBy("block").orderBy("doc_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(before, "block").select("doc_ord", (F.col("b0") + F.col("d0")).alias("base")).where(F.col("base") < target_words)
     within = F.coalesce(F.sum("words").over(Window.partitionBy("doc_ord").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = rows.join(docs0, "doc_ord").withColumn("before", F.col("base") + within)
     return out.where((F.col("before") < target_words) & ((F.col("before") > 0) | (F.col("words") > 0))).select("doc_ord", "line_no", "line", "words")

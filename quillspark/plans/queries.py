@@ -240,7 +240,7 @@ def score_text(spark, sf_dir):
 def ngram_segment_freq(spark, sf_dir):
     """How many segments hold each candidate phrase."""
     ix = index_of(spark, sf_dir)
-    chosen = written(mining.candidates(ix.parts["ngrams"], ix["vocab"], ix.rows["vocab"], ix.stats.token_pos_post_prune, ix.config), "phrase-candidates")
+    chosen = written(mining.candidates(ix.parts["ngrams"], ix["vocab"], ix.rows["vocab_join"], ix.stats.token_pos_post_prune, ix.config), "phrase-candidates")
     places = mining.occurrences(ix.parts["ids"], chosen, chosen.count(), ix.config)
     return mining.segment_freq(places).select(_text("gram").alias("gram"), "segments")
 
@@ -254,7 +254,7 @@ def phrase_lengths(spark, sf_dir):
 def phrase_pmi(spark, sf_dir):
     ix = index_of(spark, sf_dir)
     likely = ix.parts["ngrams"].where((F.col("c") >= 2) & (mining.quality(F.col("c"), F.col("n")) >= 2.0))
-    rows = mining.with_pmi(likely.select("gram", "n", "c"), ix["vocab"], ix.rows["vocab"], ix.stats.token_pos_post_prune)
+    rows = mining.with_pmi(likely.select("gram", "n", "c"), ix["vocab"], ix.rows["vocab_join"], ix.stats.token_pos_post_prune)
     return rows.select(_text("gram").alias("gram"), "c", F.round("pmi", 6).alias("pmi"), "weak")
 
 
@@ -262,7 +262,7 @@ def phrase_pmi(spark, sf_dir):
 def ngram_extensions(spark, sf_dir):
     ix = index_of(spark, sf_dir)
     cfg = ix.config
-    chosen = mining.candidates(ix.parts["ngrams"], ix["vocab"], ix.rows["vocab"], ix.stats.token_pos_post_prune, cfg)
+    chosen = mining.candidates(ix.parts["ngrams"], ix["vocab"], ix.rows["vocab_join"], ix.stats.token_pos_post_prune, cfg)
     chosen = written(chosen, "phrase-candidates")
     places = mining.occurrences(ix.parts["ids"], chosen, chosen.count(), cfg)
     sides = [places.where(F.col(s).isNotNull()).select("gram", F.lit(s).alias("side"), F.col(s).alias("id")) for s in ("left", "right")]

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a broadcast side at most; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of strings in a broadcast side at most.
+BROADCAST_BYTES = 256 << 20
 _ROW = (1 << 33) - 1
 
 
@@ -77,6 +79,11 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def bounded(rows: int, octets: int) -> int:
+    """``rows`` for ``small``, or more than any limit where the counted bytes of their strings are too many."""
+    return rows if octets <= BROADCAST_BYTES else 1 << 62
+
+
 def spread(df: DataFrame, by: str) -> DataFrame:
     """``df`` over all cores, by a hash of ``by``, where its files give fewer partitions than that (one row group can't be split)."""
     n = df.sparkSession.sparkContext.defaultParallelism
