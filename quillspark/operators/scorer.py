@@ -6,7 +6,7 @@ import json
 from functools import cached_property
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS
@@ -22,6 +22,16 @@ class Scorer(Protocol):
     def score(self, texts: DataFrame) -> DataFrame: ...
 
 
+def rescored(rows: DataFrame, scorer: Scorer) -> DataFrame:
+    """Ranked suggestions with the scores of another scorer in place of their own, ranked anew."""
+    texts = rows.select((F.col("prompt_id") * 65536 + F.col("rank")).alias("prompt_id"), "text")
+    new = scorer.score(texts).select((F.col("prompt_id") / 65536).cast("long").alias("prompt_id"), (F.col("prompt_id") % 65536).cast("int").alias("rank"), F.col("score").alias("_new"))
+    out = rows.join(new, ["prompt_id", "rank"]).withColumn("score", F.col("score") - F.col("breakdown.scorer_score") + F.col("_new"))
+    out = out.withColumn("breakdown", F.col("breakdown").withField("scorer_score", F.col("_new")).withField("final_score", F.col("score")))
+    order = Window.partitionBy("prompt_id").orderBy(F.col("score").desc(), "text")
+    return out.withColumn("rank", F.row_number().over(order)).select(*rows.columns)
+
+
 class KneserNey:
     """``unigrams`` (token, c) and ``bigrams`` (left, right, c) of lines of lower-cased tokens."""
 

@@ -17,7 +17,7 @@ from ..config import BuildConfig, SuggestConfig, apply_quality_profile, to_dict
 from ..operators import beam
 from ..operators.local import SCHEMA, LocalServer, words_of
 from ..operators.rerank import BaseReranker
-from ..operators.scorer import KneserNey
+from ..operators.scorer import KneserNey, Scorer, rescored
 from ..sources.documents import from_items
 from .index import BuildStats, Index, compile_index, load_index, save_index
 
@@ -141,8 +141,8 @@ class Autocomplete:
         if longest > b.max_indexed_prefix_chars:
             warnings.warn(f"a fragment has {longest} letters; prefixes are indexed up to {b.max_indexed_prefix_chars}", UserWarning, stacklevel=4)
 
-    def inspect(self, prompts: DataFrame | str | Iterable[str], topk: int | None = None, max_words: int | None = None, length_bias: float | None = None, collapse_prefix_ladders: bool | None = None, suggest_config: SuggestConfig | None = None, reranker: BaseReranker | None = None) -> DataFrame:
-        """Ranked suggestions with diagnostics, one row each."""
+    def inspect(self, prompts: DataFrame | str | Iterable[str], topk: int | None = None, max_words: int | None = None, length_bias: float | None = None, collapse_prefix_ladders: bool | None = None, suggest_config: SuggestConfig | None = None, reranker: BaseReranker | None = None, scorer: Scorer | None = None) -> DataFrame:
+        """Ranked suggestions with diagnostics, one row each. A ``scorer`` scores the suggestions that the index's own one has found, in its place."""
         cfg = self._settings(suggest_config, collapse_prefix_ladders)
         if not isinstance(prompts, DataFrame):
             prompts = [prompts] if isinstance(prompts, str) else list(prompts)
@@ -152,6 +152,8 @@ class Autocomplete:
             rows = self.index.spark.createDataFrame(server.inspect(list(enumerate(prompts)), cfg, topk, max_words, length_bias), SCHEMA)
         else:
             rows = beam.inspect(frame, self.index, cfg, topk, max_words, length_bias)
+        if scorer is not None:
+            rows = rescored(rows, scorer)
         if reranker is None or type(reranker) is BaseReranker:
             return rows
         order = reranker.apply(rows.select("prompt_id", "rank", "text").join(frame.select("prompt_id", F.col("text").alias("prefix")), "prompt_id"))

