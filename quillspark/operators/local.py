@@ -3,6 +3,8 @@
 A table of prompts is answered by joins (``beam``). A caller with a handful of prompts waits for some 25 small jobs there; where the
 index's files are few enough bytes (``MOST_BYTES``, measured before loading), its tables are read once as columns and kept as sorted arrays:
 a context or a bigram is a binary search, and all prompts go through a beam step together. The results are those of ``beam.inspect``.
+
+A table of prompts can be served the same way by the workers (``by_map``): each reads the tables once, and the prompts pass through in one map without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,14 +20,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..config import NormalizationConfig, SuggestConfig
+from ..config import BuildConfig, NormalizationConfig, SuggestConfig
 from ..functions.text import FOLD_FROM, FOLD_TO
 from ..plans.index import Index
+from ..session import spread
 from .beam import EDIT_PENALTY, WINDOW
 from .ngrams import DISCOUNT, LOG_FLOOR
 
 MOST_BYTES = 512 << 20
+#: Bytes of index files that every worker process reads at most; what it holds of them is some four times as much.
+MAP_BYTES = 128 << 20
+#: Prompts that go through the beam together.
+FEW = 256
 SCHEMA = (
     "prompt_id long, rank int, text string, score double, breakdown struct<final_score:double,prior_score:double,scorer_score:double,noise_penalty:double,context_support_ratio:double,"
     "context_support_penalty:double,length_adjustment:double>, diversity_group_key string, expansion_trace array<struct<kind:string,text:string,token_ids:array<int>>>, "
@@ -89,6 +100,23 @@ def _hash(keys: np.ndarray) -> np.ndarray:
     return h
 
 
+def _file_of(uri: str) -> tuple[pafs.FileSystem, str]:
+    uri = unquote(uri)
+    return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1))
+
+
+def small_files(index: Index, most_bytes: int) -> dict[str, list[str]] | None:
+    """The files of the serving tables; None where they are more than ``most_bytes``."""
+    uris, size = {}, 0
+    for name in ("vocab", "bigrams", "support", "phrases", "postings", "context"):
+        uris[name] = list(index[name].inputFiles())
+        found = [_file_of(u) for u in uris[name]]
+        size += sum(f.size for f in found[0][0].get_file_info([p for _, p in found])) if found else 0
+        if not found or size > most_bytes:
+            return None
+    return uris
+
+
 class Pairs:
     """A look-up of pairs of ids."""
 
@@ -126,12 +154,13 @@ class Columns:
 class LocalServer:
     """The serving tables of ``index`` in memory; ``load`` gives none where they are more than ``most_bytes`` of files."""
 
-    def __init__(self, index: Index, files: dict[str, list[str]], fs: pafs.FileSystem):
-        self.config, totals = index.config, index.totals
+    def __init__(self, config: BuildConfig, totals: dict[str, int], uris: dict[str, list[str]]):
+        self.config = config
         self.tokens, self.types, self.pairs = float(totals["tokens"]), totals["types"], float(totals["pairs"])
 
         def read(name: str, columns: list[str]) -> pa.Table:
-            return pads.dataset(files[name], filesystem=fs, format="parquet").to_table(columns=columns).combine_chunks()
+            found = [_file_of(u) for u in uris[name]]
+            return pads.dataset([p for _, p in found], filesystem=found[0][0], format="parquet").to_table(columns=columns).combine_chunks()
 
         def whole(table: pa.Table, column: str):
             c = table.column(column)
@@ -172,19 +201,8 @@ class LocalServer:
 
     @classmethod
     def load(cls, index: Index, most_bytes: int = MOST_BYTES) -> LocalServer | None:
-        files: dict[str, list[str]] = {}
-        size, fs = 0, None
-        for name in ("vocab", "bigrams", "support", "phrases", "postings", "context"):
-            paths = []
-            for uri in index[name].inputFiles():
-                uri = unquote(uri)
-                fs, path = pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1))
-                paths.append(path)
-            size += sum(f.size for f in fs.get_file_info(paths)) if paths else 0
-            if not paths or size > most_bytes:
-                return None
-            files[name] = paths
-        return cls(index, files, fs)
+        uris = small_files(index, most_bytes)
+        return None if uris is None else cls(index.config, index.totals, uris)
 
     # Probabilities of the scorer
 
@@ -392,3 +410,40 @@ class LocalServer:
                 i += n
             out.append((prompt_id, rank, text, score, parts, " ".join(form(t) for t in text.split(" ") if t), trace, match))
         return out
+
+
+_HELD: dict[str, LocalServer] = {}
+_STRUCTS = {
+    "breakdown": ["final_score", "prior_score", "scorer_score", "noise_penalty", "context_support_ratio", "context_support_penalty", "length_adjustment"],
+    "expansion_trace": ["kind", "text", "token_ids"],
+    "prefix_match": ["fragment", "matched", "edit_distance", "fuzzy"],
+}
+
+
+def by_map(prompts: DataFrame, index: Index, cfg: SuggestConfig | None = None, topk: int | None = None, max_words: int | None = None, length_bias: float | None = None, most_bytes: int = MAP_BYTES) -> DataFrame | None:
+    """``beam.inspect`` as one map over the prompts; None where the index is too large for the workers."""
+    uris = small_files(index, most_bytes)
+    if uris is None:
+        return None
+    cfg, config, totals = cfg or SuggestConfig(), index.config, index.totals
+    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
+
+    def run(batches):
+        key = uris["context"][0]
+        if key not in _HELD:
+            _HELD.clear()  # one index at a time in a worker
+            _HELD[key] = LocalServer(config, totals, uris)
+        for b in batches:
+            for lo in range(0, b.num_rows, FEW):
+                part = b.slice(lo, FEW)
+                rows = []
+                for row in _HELD[key].inspect(list(zip(part.column("prompt_id").to_pylist(), part.column("text").to_pylist())), cfg, topk, max_words, length_bias):
+                    d = dict(zip(schema.names, row))
+                    d["breakdown"] = dict(zip(_STRUCTS["breakdown"], d["breakdown"]))
+                    d["expansion_trace"] = [dict(zip(_STRUCTS["expansion_trace"], t)) for t in d["expansion_trace"]]
+                    d["prefix_match"] = d["prefix_match"] and dict(zip(_STRUCTS["prefix_match"], d["prefix_match"]))
+                    rows.append(d)
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    own = prompts.select(F.col("prompt_id").cast("long").alias("prompt_id"), F.col("text").cast("string").alias("text"))
+    return spread(own, "prompt_id").mapInArrow(run, SCHEMA)

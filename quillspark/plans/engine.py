@@ -15,15 +15,13 @@ from pyspark.sql import functions as F
 
 from ..config import BuildConfig, SuggestConfig, apply_quality_profile, to_dict
 from ..operators import beam
-from ..operators.local import SCHEMA, LocalServer, words_of
+from ..operators.local import FEW, SCHEMA, LocalServer, by_map, words_of
 from ..operators.rerank import BaseReranker
 from ..operators.scorer import KneserNey, Scorer, rescored
 from ..sources.documents import from_items
 from .index import BuildStats, Index, compile_index, load_index, save_index
 
 ROOT = ".quillspark_indexes"
-#: Prompts given as strings that are answered on the driver, if the index fits there.
-FEW = 256
 
 
 def index_path(name: str | Path) -> str:
@@ -151,7 +149,9 @@ class Autocomplete:
         if isinstance(prompts, list) and len(prompts) <= FEW and (server := self.local()):
             rows = self.index.spark.createDataFrame(server.inspect(list(enumerate(prompts)), cfg, topk, max_words, length_bias), SCHEMA)
         else:
-            rows = beam.inspect(frame, self.index, cfg, topk, max_words, length_bias)
+            rows = by_map(frame, self.index, cfg, topk, max_words, length_bias)
+            if rows is None:
+                rows = beam.inspect(frame, self.index, cfg, topk, max_words, length_bias)
         if scorer is not None:
             rows = rescored(rows, scorer)
         if reranker is None or type(reranker) is BaseReranker:

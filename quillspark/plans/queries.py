@@ -371,6 +371,12 @@ def suggest_batch(spark, sf_dir):
     return _shown(beam.inspect(pr.document_prompts(documents(spark, sf_dir)), index_of(spark, sf_dir)))
 
 
+@query("suggest_by_map", ORACLES["suggest_batch"])
+def suggest_by_map(spark, sf_dir):
+    """The same suggestions from an index that every worker holds, in one map; by joins where it is too large."""
+    return _shown(Autocomplete(index_of(spark, sf_dir)).inspect(pr.document_prompts(documents(spark, sf_dir))))
+
+
 @query("suggest_continuation", statement("SELECT -1 - prompt_id AS prompt_id, rank, suggestion AS text, round(score, 6) AS score FROM top", serving("prompt_id < 0")))
 def suggest_continuation(spark, sf_dir):
     return _shown(beam.inspect(pr.continuation_prompts(documents(spark, sf_dir)), index_of(spark, sf_dir)))

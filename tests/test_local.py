@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.config import BuildConfig, NormalizationConfig, SuggestConfig
 from quillspark.functions import text as T
 from quillspark.operators import beam, rerank
-from quillspark.operators.local import LocalServer, edits, words_of
+from quillspark.operators.local import LocalServer, by_map, edits, words_of
 from quillspark.plans.engine import Autocomplete
 
 PROMPTS = ["", " ", "how to bui", "how to biuld", "how to ", "build a", "build the de", "python zzz ", "zzz python b", "3.5 x", "BUILD A D", "how", "alpha beta", "deck safe", "ho", "xx", "sfaely", "a", None]
@@ -45,7 +45,9 @@ def test_driver_and_joins_agree(spark, engine, cfg):
     want = [plain(r) for r in beam.inspect(frame, engine.index, cfg).orderBy("prompt_id", "rank").collect()]
     rows = engine.inspect(PROMPTS, suggest_config=cfg).orderBy("prompt_id", "rank")
     assert [plain(r) for r in rows.collect()] == want and len(want) > 10
-    assert server is not None and rows.schema.names == beam.inspect(frame, engine.index, cfg).schema.names
+    mapped = by_map(frame, engine.index, cfg)
+    assert [plain(r) for r in mapped.orderBy("prompt_id", "rank").collect()] == want and by_map(frame, engine.index, cfg, most_bytes=10) is None
+    assert server is not None and rows.schema.names == mapped.schema.names == beam.inspect(frame, engine.index, cfg).schema.names
 
 
 def test_too_large_an_index_is_served_by_joins(engine):
