@@ -42,12 +42,13 @@ def plain(row):
 def test_driver_and_joins_agree(spark, engine, cfg):
     server = engine.local()
     frame = spark.createDataFrame(list(enumerate(PROMPTS)), "prompt_id long, text string")
-    want = [plain(r) for r in beam.inspect(frame, engine.index, cfg).orderBy("prompt_id", "rank").collect()]
+    joined = beam.inspect(frame, engine.index, cfg)
+    want = [plain(r) for r in joined.orderBy("prompt_id", "rank").collect()]
     rows = engine.inspect(PROMPTS, suggest_config=cfg).orderBy("prompt_id", "rank")
     assert [plain(r) for r in rows.collect()] == want and len(want) > 10
     mapped = by_map(frame, engine.index, cfg)
     assert [plain(r) for r in mapped.orderBy("prompt_id", "rank").collect()] == want and by_map(frame, engine.index, cfg, most_bytes=10) is None
-    assert server is not None and rows.schema.names == mapped.schema.names == beam.inspect(frame, engine.index, cfg).schema.names
+    assert server is not None and rows.schema.names == mapped.schema.names == joined.schema.names
 
 
 def test_too_large_an_index_is_served_by_joins(engine):
