@@ -14,7 +14,8 @@ Counting sends one compact block for each batch and bucket of hashes (5 bytes an
 and the task that merges a bucket builds its part of the filter in the same step, sized by its own entries
 (``BITS`` bits each). The number of buckets follows the size of the corpus. A filter of up to ``most_bytes`` is broadcast whole, and each
 distinct n-gram of a batch is probed once. Beyond that, the look-ups go to the filter: the distinct n-grams of each batch are sent to the buckets'
-parts, and their levels, a byte each, come back; nothing grows on the driver or in a worker, and the scores are the same.
+parts, and their levels, a byte each, come back; nothing grows on the driver or in a worker, and the scores are the same. The texts wait in compressed
+batches, which are read and shuffled as they are.
 
 Defined results: a null, empty or wordless text has 0 tokens and null log-probability and perplexity; rows with a
 null doc_id are scored; repeated rows count in the statistics as often as they stand and get equal scores; whole
@@ -236,27 +237,30 @@ def _rows(ids: pa.Array, done: list[tuple[np.ndarray, np.ndarray]]) -> pa.Record
 
 
 def _batched(batches):
-    """(batch, ids, texts): runs of documents of about ``CHUNKS`` chunks, under a number of their own."""
+    """(batch, held): runs of documents of about ``CHUNKS`` chunks, ids and texts, compressed, under a number of their own."""
     for b in batches:
         ids, texts = b.column("doc_id"), b.column("text")
         at = 0
         for part in _gathered(texts):
             n = sum(w.n for w in part)
-            lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x.slice(at, n)) for x in (ids, texts)]
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), *lists], names=["batch", "ids", "texts"])
+            held = pa.RecordBatch.from_arrays([ids.slice(at, n), texts.slice(at, n)], names=["doc_id", "text"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(held)
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "held"])
             at += n
 
 
 def _asked(batches, order: int, bits: int):
     """(n, bucket, batch, block): the distinct runs of each batch."""
     for b in batches:
-        for batch, texts in zip(b.column("batch").to_pylist(), b.column("texts")):
+        for batch, held in zip(b.column("batch").to_pylist(), b.column("held")):
             out: list[list] = [[], [], []]
-            for n, (h, _) in enumerate(_distinct(list(words(texts.values)), order)):
+            for n, (h, _) in enumerate(_distinct(list(words(pa.ipc.open_stream(held.as_buffer()).read_all().column("text"))), order)):
                 for bucket, _, _, block in _blocks(h, bits):
                     for col, x in zip(out, (n, bucket, block)):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(np.full(len(out[0]), batch)), pa.array(out[2], pa.binary())], names=["n", "bucket", "batch", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(np.full(len(out[0]), batch), pa.int64()), pa.array(out[2], pa.binary())], names=["n", "bucket", "batch", "block"])
 
 
 def _answered(batches, bits: int):
@@ -266,10 +270,16 @@ def _answered(batches, bits: int):
         for k in range(b.num_rows):
             n, bucket, asked = (b.column(c)[k] for c in ("n", "bucket", "asked"))
             held = Filter(pa.table(b.slice(k, 1).select(["n", "bucket", "bits", "size"])), bits)
-            for batch, block in zip(asked.values.field("batch").to_pylist(), asked.values.field("block").to_pylist()):
-                h = _unpack(block, len(block) // 5) | np.uint64(bucket.as_py() << (48 - bits))
-                for col, x in zip(out, (batch, n.as_py(), bucket.as_py(), held.levels(h, n.as_py()).tobytes())):
+            # All batches' questions at once: a batch has few n-grams in a bucket.
+            blocks = asked.values.field("block").to_pylist()
+            sizes = [len(x) // 5 for x in blocks]
+            h = np.concatenate([_unpack(x, m) for x, m in zip(blocks, sizes)]) | np.uint64(bucket.as_py() << (48 - bits))
+            levels = held.levels(h, n.as_py()).tobytes()
+            at = 0
+            for batch, m in zip(asked.values.field("batch").to_pylist(), sizes):
+                for col, x in zip(out, (batch, n.as_py(), bucket.as_py(), levels[at : at + m])):
                     col.append(x)
+                at += m
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["batch", "n", "bucket", "levels"])
 
 
@@ -304,23 +314,24 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, most_bytes: int = 25
 
         return texts.mapInArrow(run, _SCHEMA)
 
-    kept = written(texts.mapInArrow(_batched, "batch long, ids array<long>, texts array<string>"), "lm-batches")
-    asked = kept.select("batch", "texts").mapInArrow(lambda it: _asked(it, order, bits), "n int, bucket int, batch long, block binary")
+    kept = written(texts.mapInArrow(_batched, "batch long, held binary"), "lm-batches")
+    asked = kept.mapInArrow(lambda it: _asked(it, order, bits), "n int, bucket int, batch long, block binary")
     asked = asked.groupBy("n", "bucket").agg(F.collect_list(F.struct("batch", "block")).alias("asked")).join(plain, ["n", "bucket"])
     answers = asked.mapInArrow(lambda it: _answered(it, bits), "batch long, n int, bucket int, levels binary")
-    answers = answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("n", "bucket", "levels"))).alias("answers"))
-
-    def close(batches):
-        for b in batches:
-            for ids, texts, answers in zip(b.column("ids"), b.column("texts"), b.column("answers")):
-                part = list(words(texts.values))
-                levels = []
-                for n, (h, at) in enumerate(_distinct(part, order)):
-                    mine = b"".join(a["levels"] for a in answers.as_py() or () if a["n"] == n)
-                    levels.append(np.frombuffer(mine, np.uint8)[at] if len(h) else np.zeros(0, np.uint8))
-                yield _rows(ids.values, [_finish(part, levels, model)])
-
-    return kept.join(answers, "batch", "left").select("ids", "texts", "answers").mapInArrow(close, _SCHEMA)
+
+    def close(batch: pa.Table, answers: pa.Table) -> pa.Table:
+        """A batch's rows: its answers come as rows of one bucket each, so no row of the JVM grows with the number of buckets."""
+        texts = pa.ipc.open_stream(batch.column("held")[0].as_buffer()).read_all()
+        part = list(words(texts.column("text")))
+        answers = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
+        ns = answers.column("n").to_numpy()
+        levels = []
+        for n, (h, at) in enumerate(_distinct(part, order)):
+            mine = b"".join(answers.column("levels").slice(np.searchsorted(ns, n), (ns == n).sum()).to_pylist())
+            levels.append(np.frombuffer(mine, np.uint8)[at] if len(h) else np.zeros(0, np.uint8))
+        return pa.Table.from_batches([_rows(texts.column("doc_id").combine_chunks(), [_finish(part, levels, model)])])
+
+    return kept.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(close, _SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

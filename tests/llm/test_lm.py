@@ -67,6 +67,18 @@ def test_looking_up_by_shuffle_agrees_with_broadcast(spark):
     assert lm.score(df.where("false"), most_bytes=-1).count() == 0
 
 
+def test_texts_wait_compressed_while_look_ups_are_shuffled(spark, monkeypatch):
+    """Rows of a batch's plain texts took more of an executor's memory than it has, at gigabytes of input."""
+    held = {}
+    monkeypatch.setattr(lm, "written", lambda df, name, own=lm.written: held.setdefault(name, own(df, name)))
+    texts = [" ".join(corpus(40, k)) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert lm.score(df, most_bytes=0).count() == 60
+    kept = held["lm-batches"]
+    assert [t for _, t in kept.dtypes] == ["bigint", "binary"]
+    assert kept.selectExpr("sum(length(held))").first()[0] < 0.7 * sum(map(len, texts))
+
+
 def test_repeated_texts_are_told_apart(spark):
     texts = corpus(200, 3)
     texts += texts[:50]
