@@ -12,12 +12,14 @@ query turns into three grades: 0 poor, 1 fair (well written but toxic), 2 good.
 Defined results: a null or empty text has no features and gets the intercept's probabilities; it
 is kept only if they reach the threshold; rows with a null doc_id are scored like any other;
 repeated rows give repeated results; whole texts are read; an empty table gives an empty result;
-without two grades in the labels everything is kept; extra columns are ignored or kept.
+without two grades in the labels everything is kept; extra columns are ignored or kept; repeated labelled rows are learned from once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import pairwise
+from tempfile import TemporaryFile
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import Words, mix, span_hash, words
-from .work import labelled
+from .work import labelled, scratch
 
 BITS = 16
 MARKS, LEVELS = 5, 16
 SIZE = (1 << BITS) + MARKS * LEVELS
 #: Spread (of a share over the sample) below which a feature isn't magnified further, so that rare features can't drown the marks.
 FLOOR = 0.05
+#: Features of the sample in the driver's memory at once (the rest waits in a file that each step reads), and bytes of its text that come to the driver at once.
+ROOM, SLICE = 1 << 21, 4 << 20
 
 # Shape of a byte: letters and digits by kind, white space by kind, every sign as itself.
 _SHAPE = np.arange(256, dtype=np.uint32)
@@ -162,24 +166,48 @@ def gradient(w: np.ndarray, theta: np.ndarray, f: np.ndarray, v: np.ndarray, row
     return float(-(balance * np.log(mass)).mean()), np.bincount(f, v * gs[row], len(w)), back
 
 
+def _gather(own: DataFrame, files: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Grades and numbers of features of the sample, by id and text; features and shares go to the two files, slice after slice."""
+    octets = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(own.sparkSession.sparkContext.defaultParallelism, -(-octets // SLICE))
+    rows = own.withColumn("_h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    grades, sizes = [], []
+    for r in rows.mapInArrow(lambda it: _sparse(it, "_grade"), "doc_id long, _grade int, f binary, v binary").toLocalIterator(prefetchPartitions=True):
+        grades.append(r["_grade"])
+        sizes.append(len(r["f"]) // 4)
+        for file, part in zip(files, (r["f"], r["v"])):
+            file.write(part)
+    for file in files:
+        file.flush()
+    return np.array(grades, np.int64), np.array(sizes, np.int64)
+
+
 def fit_ordinal(docs: DataFrame, labels: DataFrame, grade: Column, sample: int = 4_000, steps: int = 250, rate: float = 0.5, penalty: float = 1e-4) -> Ordinal:
-    """Fits on at most ``sample`` labelled documents, gathered as sparse rows of a few kilobytes."""
+    """Fits on at most ``sample`` labelled documents, gathered as sparse rows; however long their texts are, ``ROOM`` features are in memory at once."""
     rated = labels.withColumn("_grade", grade.cast("int")).where("_grade IS NOT NULL").select("doc_id", "_grade")
-    rows = labelled(docs.sparkSession, docs, rated, sample).where("text IS NOT NULL").mapInArrow(lambda it: _sparse(it, "_grade"), "doc_id long, _grade int, f binary, v binary").toPandas().sort_values("doc_id", kind="stable")
-    grades, y = np.unique(rows["_grade"].to_numpy(), return_inverse=True)
-    fs = [np.frombuffer(b, "<u4") for b in rows["f"]]
-    vs = [np.frombuffer(b, np.float32) for b in rows["v"]]
+    with scratch(docs.sparkSession), TemporaryFile() as ffile, TemporaryFile() as vfile:
+        given, sizes = _gather(labelled(docs.sparkSession, docs, rated, sample), (ffile, vfile))
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        fs, vs = (np.memmap(x, kind, "r") if first[-1] else np.zeros(0, kind) for x, kind in ((ffile, "<u4"), (vfile, "<f4")))
+    grades, y = np.unique(given, return_inverse=True)
     size = SIZE
     k = len(grades)
     if k < 2:
         return Ordinal(np.zeros(size), np.zeros(0), grades)
     n = len(y)
-    f = np.concatenate(fs).astype(np.int64)
-    row = np.repeat(np.arange(n), [len(a) for a in fs])
+    begin = [0]
+    while begin[-1] < n:
+        begin.append(max(begin[-1] + 1, int(np.searchsorted(first, first[begin[-1]] + ROOM, "right")) - 1))
+
+    def chunks():
+        for a, b in pairwise(begin):
+            own = slice(first[a], first[b])
+            yield fs[own].astype(np.int64), vs[own].astype(np.float64), np.repeat(np.arange(b - a), sizes[a:b]), slice(a, b)
+
     # Each feature in units of its spread, so that rare and frequent ones learn alike.
-    v = np.concatenate(vs).astype(np.float64)
-    spread = np.sqrt(np.bincount(f, v * v, size) / n) + FLOOR
-    v /= spread[f]
+    spread = np.sqrt(sum(np.bincount(f, v * v, size) for f, v, _, _ in chunks()) / n) + FLOOR
+    scaled = lambda: ((f, v / spread[f], row, own) for f, v, row, own in chunks())
+    held = list(scaled()) if len(begin) == 2 else None
     share = np.bincount(y, minlength=k) / n
     tail = np.clip(1 - np.cumsum(share)[:-1], 1e-3, 1 - 1e-3)
     # theta: first threshold, then logarithms of the gaps, which keep the thresholds ordered
@@ -190,7 +218,12 @@ def fit_ordinal(docs: DataFrame, labels: DataFrame, grade: Column, sample: int =
     balance = (1 / np.maximum(share * k, 0.05))[y]
     balance /= balance.mean()
     for _ in range(steps):
-        _, g, back = gradient(w, theta, f, v, row, y, balance)
+        g, back = np.zeros(size), np.zeros(len(theta))
+        for f, v, row, own in held or scaled():
+            _, dw, dt = gradient(w, theta, f, v, row, y[own], balance[own])
+            part = len(y[own]) / n
+            g += dw * part
+            back += dt * part
         g += penalty * w
         gw += g * g
         gt += back * back

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .kernel import Words, counts, hash_words, member, sums, words
 from .trees import Boosted, Isotonic, fit_boosted, fit_isotonic
-from .work import drop_path, fresh_path, labelled
+from .work import labelled, scratch
 
 SECOND_PERSON = "you your yours yourself u ur ya du dich dir dein deine deiner ihr euch euer sie tu te toi ton ta tes vous votre vos tú ti tuyo tus usted ustedes vosotros".split()
 SEEDS = "idiot idiots stupid moron morons loser losers trash scum pathetic worthless disgusting clown dumb retard bitch bastard asshole fuck fucking shit whore slut kill hate ugly filth vermin imbecile".split()
@@ -182,21 +182,19 @@ def _learn_lexicon(sample: DataFrame, bad: int, good: int, least: float) -> Lexi
 
 def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 20_000, trees: int = 60, least: float = 20.0) -> ToxicModel:
     """Learns from at most ``sample`` labelled documents (the bound that keeps training on the driver)."""
-    path = fresh_path(spark, "toxic-sample")
-    labelled(spark, docs, labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), sample).where("text IS NOT NULL").write.parquet(path)
-    rows = spark.read.parquet(path)
-    got = {r["toxic"] > 0: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    lexicon = _learn_lexicon(rows.withColumn("toxic", (F.col("toxic") > 0).cast("int")), got.get(True, 0), got.get(False, 0), least)
-    seeds, second = _word_sets()
-
-    def measure(batches):
-        for b in batches:
-            parts = [features(w, lexicon, seeds, second) for w in words(b.column("text"))]
-            x = np.concatenate(parts or [np.zeros((0, len(FEATURES)))])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
-
-    table = rows.mapInArrow(measure, "doc_id long, toxic int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
-    drop_path(spark, path)
+    with scratch(spark):
+        rows = labelled(spark, docs, labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), sample)
+        got = {r["toxic"] > 0: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        lexicon = _learn_lexicon(rows.withColumn("toxic", (F.col("toxic") > 0).cast("int")), got.get(True, 0), got.get(False, 0), least)
+        seeds, second = _word_sets()
+
+        def measure(batches):
+            for b in batches:
+                parts = [features(w, lexicon, seeds, second) for w in words(b.column("text"))]
+                x = np.concatenate(parts or [np.zeros((0, len(FEATURES)))])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "toxic", "h")), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "toxic", "h", "x"])
+
+        table = rows.withColumn("h", F.xxhash64("text")).mapInArrow(measure, "doc_id long, toxic int, h long, x array<double>").toPandas().sort_values(["doc_id", "h"], kind="stable")
     x = np.array(table["x"].tolist(), float).reshape(-1, len(FEATURES))
     y = (table["toxic"].to_numpy() > 0).astype(float)
     model = fit_boosted(x, y, trees)

@@ -28,9 +28,10 @@ def without_ids(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
 
 
 def labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """At most ``sample`` labelled documents, the first by a hash of their id: (doc_id, text, and the columns of labels).
+    """At most ``sample`` labelled documents with a text, the first by a hash of their id: (doc_id, text, and the columns of labels). Written once.
 
-    Labels without an id are dropped; of repeated labels of a document one is taken.
+    Labels without an id are dropped; of repeated labels of a document one is taken. Repeated rows (same doc_id and text) are one
+    document; a doc_id with several texts is several documents. So the rows are bounded however often ``docs`` holds an id.
     """
     cols = [c for c in labels.columns if c != "doc_id"]
     picked = (
@@ -41,4 +42,9 @@ def labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: in
         .limit(sample)
         .select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_l_{c}") for c in cols])
     )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", *[F.col(f"_l_{c}").alias(c) for c in cols])
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", *[F.col(f"_l_{c}").alias(c) for c in cols])
+    rows = written(rows.distinct(), "labelled")
+    if rows.count() <= sample:
+        return rows
+    first = rows.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text")).orderBy(F.xxhash64("_id"), "_id", "_text").limit(sample)
+    return rows.join(F.broadcast(first), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left_semi")

@@ -158,3 +158,39 @@ def test_toxicity_without_seed_words(spark, monkeypatch):
     got = toxicity.toxicity(docs, toxicity.fit_toxicity(spark, docs, train)).join(test.select("doc_id", test.toxic.alias("label")), "doc_id").toPandas()
     bad = got.label == 1
     assert got.toxic[bad].mean() >= 0.85 and got.toxic[~bad].mean() <= 0.02
+
+
+def test_repeated_rows_are_learned_from_once(spark):
+    """A table whose ids stand several times gives the sample, and the models, of the table without repeats."""
+    from pyspark.sql import functions as F
+
+    from quillspark.llm.work import labelled
+    from quillspark.session import scratch
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    often = docs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    with scratch(spark):
+        for sample in (100, 10_000):
+            once, many = (sorted(map(tuple, labelled(spark, d, labels, sample).collect())) for d in (docs, often))
+            assert once == many and len(once) <= sample
+        texts = often.withColumn("text", F.concat_ws(" ", "text", F.col("k").cast("string")))  # one id, five texts
+        got = labelled(spark, texts, labels, 100).collect()
+        assert len(got) == len({(r["doc_id"], r["text"]) for r in got}) == 100
+    a, b = (quality.fit_ordinal(d, labels, F.expr(quality.GRADE)) for d in (docs, often))
+    assert (a.weight == b.weight).all() and (a.cuts == b.cuts).all()
+    a, b = (toxicity.fit_toxicity(spark, d, labels) for d in (docs, often))
+    assert (a.lexicon.hash == b.lexicon.hash).all() and (a.lexicon.weight == b.lexicon.weight).all()
+    assert (a.calibration(a.trees.raw(np.eye(len(toxicity.FEATURES)))) == b.calibration(b.trees.raw(np.eye(len(toxicity.FEATURES))))).all()
+
+
+def test_quality_sample_beyond_memory(spark, monkeypatch):
+    """Features that wait in a file and come in slices give the model that all of them at once give."""
+    from pyspark.sql import functions as F
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = docs.unionByName(docs.where("doc_id = 1").withColumn("text", F.repeat("text", 50)))  # one text alone is beyond the room
+    want = quality.fit_ordinal(docs, labels, F.expr(quality.GRADE), steps=60)
+    monkeypatch.setattr(quality, "ROOM", 900)
+    monkeypatch.setattr(quality, "SLICE", 1 << 16)
+    got = quality.fit_ordinal(docs, labels, F.expr(quality.GRADE), steps=60)
+    assert np.abs(want.weight).max() > 0.1 and np.allclose(got.weight, want.weight, atol=1e-9) and np.allclose(got.cuts, want.cuts, atol=1e-9)
