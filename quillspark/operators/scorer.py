@@ -6,14 +6,19 @@ import json
 from functools import cached_property
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS
+from ..config import NormalizationConfig
+from ..functions.text import WS, plain, slices, text_tokens, tokens
 from .ngrams import bigram_p, log_p, unigram_p
 from .rerank import merge_counts
 
 KIND, VERSION = "kneser-ney", 1
+#: Tokens whose pairs are counted at once.
+PIECE = 1 << 20
 
 
 class Scorer(Protocol):
@@ -47,6 +52,48 @@ class KneserNey:
         count = F.count("*").alias("c")
         return cls(low.select(F.explode("t").alias("token")).groupBy("token").agg(count), pairs.groupBy("p.left", "p.right").agg(count))
 
+    @classmethod
+    def from_texts(cls, texts: DataFrame, cfg: NormalizationConfig) -> KneserNey:
+        """``texts``: one column, text, each a line. Tokens are cut and their pairs counted, a piece at a time, in one pass over plain strings."""
+        texts = texts.where("text IS NOT NULL")
+        if not (plain(cfg) and cfg.lowercase):
+            return cls.from_lines(texts.select(tokens(F.col("text"), cfg).alias("tok")))
+
+        def pieces(batches):
+            cut = text_tokens(cfg, False)
+            held, n = [], 0
+            for b in batches:
+                for x in slices(b):
+                    held.append(cut(x.column("text")))
+                    n += len(held[-1].values)
+                    if n >= PIECE:
+                        yield held
+                        held, n = [], 0
+            if held:
+                yield held
+
+        def coded(held):
+            c = pa.concat_arrays([t.values for t in held]).dictionary_encode()
+            return c.dictionary.cast(pa.string()), c.indices.to_numpy().astype(np.int64)
+
+        def ones(batches):
+            for held in pieces(batches):
+                names, code = coded(held)
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(code, minlength=len(names)))], names=["token", "c"])
+
+        def twos(batches):
+            for held in pieces(batches):
+                names, code = coded(held)
+                size = np.concatenate([np.diff(t.offsets) for t in held])
+                last = np.zeros(len(code), bool)
+                last[np.cumsum(size)[size > 0] - 1] = True
+                i = np.flatnonzero(~last)
+                key, c = np.unique((code[i] << 32) | code[np.minimum(i + 1, len(code) - 1)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(key >> 32)), names.take(pa.array(key & 0xFFFFFFFF)), pa.array(c)], names=["left", "right", "c"])
+
+        count = F.sum("c").alias("c")
+        return cls(texts.select("text").mapInArrow(ones, "token string, c long").groupBy("token").agg(count), texts.select("text").mapInArrow(twos, "left string, right string, c long").groupBy("left", "right").agg(count))
+
     def merge(self, other: KneserNey) -> KneserNey:
         """The model of both corpora, from their counts."""
         return KneserNey(merge_counts(self.unigrams, other.unigrams, ["token"]), merge_counts(self.bigrams, other.bigrams, ["left", "right"]))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate, islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines, partial_token
-from ..session import dense_ids, small
+from ..session import dense_ids, small, written
 
 WORD = r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?"
+#: Documents whose running totals one task makes.
+BLOCK = 1 << 16
 
 
 def words_of(c):
@@ -43,9 +49,27 @@ def stride_prompts(docs: DataFrame, limit: int = 128) -> DataFrame:
 
     Lines of four words at least count; each gives a prompt of one, two and three finished words.
     """
-    long = _numbered(docs).withColumn("w", words_of(F.col("line"))).where(F.size("w") >= 4).select("doc_ord", "line_no", F.slice("w", 1, 4).alias("w"))
-    rows = dense_ids(long, [F.col("doc_ord").asc(), F.col("line_no").asc()], "n")
-    stride = max(1, rows.count() // max(1, limit * 3))
+    some = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_ord"), "text")
+
+    def count(batches):
+        words = re.compile(WORD).finditer
+        for b in batches:
+            n = [sum(1 for line in t.splitlines() if next(islice(words(line.lower()), 3, None), None)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_ord"), pa.array(n, pa.int64())], names=["doc_ord", "k"])
+
+    # Only documents are put in order; the few lines that are wanted are cut again.
+    per = some.mapInArrow(count, "doc_ord long, k long").groupBy("doc_ord").agg(F.sum("k").alias("k")).where("k > 0")
+    per = written(dense_ids(per, [F.col("doc_ord").asc()], "i").withColumn("block", (F.col("i") / BLOCK).cast("long")), "line-counts")
+    blocks = sorted(map(tuple, per.groupBy("block").agg(F.sum("k")).collect()))
+    sums = [0, *accumulate(n for _, n in blocks)]
+    stride = max(1, sums[-1] // max(1, limit * 3))
+    before = per.sparkSession.createDataFrame([(b, n) for (b, _), n in zip(blocks, sums)], "block long, before long")
+    own = F.sum("k").over(Window.partitionBy("block").orderBy("i")) - F.col("k")
+    base = per.withColumn("own", own).join(F.broadcast(before), "block").select(F.col("doc_ord").alias("_doc"), (F.col("before") + F.col("own")).alias("base"), "k")
+    wanted = base.where(F.floor((F.col("base") + F.col("k") - 1) / stride) * stride >= F.col("base")).select("_doc", "base")
+    cut = some.join(F.broadcast(wanted), F.col("doc_ord").eqNullSafe(F.col("_doc"))).select("doc_ord", "base", F.posexplode(lines(F.col("text"))).alias("line_no", "line"))
+    long = cut.withColumn("w", words_of(F.col("line"))).where(F.size("w") >= 4).select("doc_ord", "base", "line_no", F.slice("w", 1, 4).alias("w"))
+    rows = long.withColumn("n", F.col("base") + F.row_number().over(Window.partitionBy("doc_ord").orderBy("line_no")) - 1)
     made = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.struct(k.alias("k"), F.concat_ws(" ", F.slice("w", F.lit(1), k), F.array(partial_token(F.element_at("w", k + 1)))).alias("query")))
     flat = rows.where(F.col("n") % stride == 0).select("n", F.explode(made).alias("x"))
     first = flat.groupBy("x.query").agg(F.min(F.col("n") * 4 + F.col("x.k")).alias("ord"))
